@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, secrets, sharding, urls
+from . import mixing, packing, quality_rules, secrets, sharding, topk, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,7 +35,26 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op2_url_filters, op3_secret_scans, op4_quality_rules, op6_sharding, op7_mixing)}
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {
+    q.__name__: q
+    for q in (
+        op2_url_filters,
+        op3_secret_scans,
+        op4_quality_rules,
+        op6_sharding,
+        op7_mixing,
+        op9_best_fit_packing,
+        op10_exact_topk,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op2_url_filters": r"""
@@ -80,4 +99,16 @@ ORACLES: dict[str, str] = {
                     OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 100 * n_dup_lines > 50 * n_lines) AS kept
         FROM b
     """,
+    "op10_exact_topk": """
+        WITH e AS (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        s AS (
+          SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+          FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+    """,
 }
