@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality_rules, secrets, sharding, topk, urls
+from . import mixing, packing, quality_model, quality_rules, secrets, sharding, substring, topk, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicated(_table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
@@ -49,8 +57,10 @@ QUERIES: dict[str, Query] = {
         op2_url_filters,
         op3_secret_scans,
         op4_quality_rules,
+        op5_quality_classifier,
         op6_sharding,
         op7_mixing,
+        op8_substring_dedup,
         op9_best_fit_packing,
         op10_exact_topk,
     )
@@ -111,4 +121,27 @@ ORACLES: dict[str, str] = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
     """,
+    "op8_substring_dedup": r"""
+        WITH w AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+        ),
+        g AS (
+          SELECT doc_id, i, sha256(array_to_string(ws[i : i + 49], ' ')) AS h
+          FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)
+        ),
+        r AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS d FROM g) WHERE d < doc_id),
+        e AS (
+          SELECT doc_id, i, sum(CASE WHEN i - before > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS part
+          FROM (SELECT *, lag(i, 1, -100) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM r)
+        ),
+        c AS (SELECT doc_id, list({'a': a, 'b': b} ORDER BY a) AS cut FROM (SELECT doc_id, min(i) AS a, max(i) + 49 AS b FROM e GROUP BY doc_id, part) GROUP BY doc_id),
+        p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+        k AS (
+          SELECT p.doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n
+          FROM p LEFT JOIN c USING (doc_id)
+          WHERE c.doc_id IS NULL OR len(list_filter(cut, lambda x: i BETWEEN x.a AND x.b)) = 0 GROUP BY p.doc_id
+        )
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN k USING (doc_id)
+    """,
 }
