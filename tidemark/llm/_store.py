@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -54,3 +55,8 @@ class Scratch:
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(self.path(table))
             path.getFileSystem(conf).delete(path, True)
+
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of steps that are over: it does so when its driver collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
