@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
@@ -149,7 +149,7 @@ def frequent(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray]:
 
 
 def profiles(docs: DataFrame, join: Join, sent: object) -> DataFrame:
-    """doc_id, n, fp_a, fp_b and prefix of every document."""
+    """doc_id, row_key, n, fp_a, fp_b and prefix of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, counts = sent.value
@@ -162,11 +162,11 @@ def profiles(docs: DataFrame, join: Join, sent: object) -> DataFrame:
             edge = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             values = np.concatenate(prefixes) if prefixes else np.zeros(0, U64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array([f[0] for f in fp], pa.int64()), pa.array([f[1] for f in fp], pa.int64()), pa.ListArray.from_arrays(pa.array(edge), pa.array(values.view(np.int64)))],
-                names=["doc_id", "n", "fp_a", "fp_b", "prefix"],
+                [b.column("doc_id"), b.column("row_key"), pa.array(n, pa.int64()), pa.array([f[0] for f in fp], pa.int64()), pa.array([f[1] for f in fp], pa.int64()), pa.ListArray.from_arrays(pa.array(edge), pa.array(values.view(np.int64)))],
+                names=["doc_id", "row_key", "n", "fp_a", "fp_b", "prefix"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, fp_a long, fp_b long, prefix array<long>")
+    return docs.select("doc_id", "row_key", "text").mapInArrow(run, "doc_id long, row_key long, n long, fp_a long, fp_b long, prefix array<long>")
 
 
 def boundary(sets: DataFrame, join: Join) -> int:
@@ -410,10 +410,15 @@ def verified(pairs: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
     return met.mapInArrow(run, "a long, b long, linked boolean").distinct()
 
 
-def classes(docs: DataFrame, join: Join | None = None) -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest doc_id that the document reaches by links, itself included."""
-    join = join or Join()
+def row_key(docs: DataFrame) -> Column:
+    """A row's hash; rows of the same columns' values share it."""
+    return F.xxhash64(*docs.columns)
+
+
+def classed(docs: DataFrame, join: Join) -> DataFrame:
+    """doc_id, row_key, n_shingles, component_id and root, a number of the class, null for empty sets."""
     spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row_key"), "text")
     scratch = Scratch(spark, "jaccard")
     sent = spark.sparkContext.broadcast(frequent(docs, join))  # at most HOT_LIST shingles
     rows = scratch.save(profiles(docs, join, sent), "profiles")
@@ -446,5 +451,23 @@ def classes(docs: DataFrame, join: Join | None = None) -> DataFrame:
     roots = components(roots.where("node <> root").select("node", "root").union(more), scratch, "classes")
     of_set = sets.select("sid", "fp_a", "fp_b", "rep").join(roots, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid"))
     least = of_set.groupBy("root").agg(F.min("rep").alias("component_id"))
-    found = of_set.join(least, "root").select("fp_a", "fp_b", "component_id")
-    return members.join(found, ["fp_a", "fp_b"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = of_set.join(least, "root").select("fp_a", "fp_b", "component_id", "root")
+    return members.join(found, ["fp_a", "fp_b"], "left").select(
+        "doc_id", "row_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root"
+    )
+
+
+def classes(docs: DataFrame, join: Join | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest doc_id that the document reaches by links, itself included."""
+    return classed(docs, join or Join()).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(docs: DataFrame, join: Join | None = None) -> DataFrame:
+    """One row of docs for each class, with all of its columns: that of the smallest doc_id. Rows without words stay."""
+    found = classed(docs, join or Join())
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
+    keep = found.where(F.col("root").isNotNull()).groupBy("root").agg(first.alias("f")).select(F.col("f.row_key").alias("k"))
+    keep = keep.union(found.where(F.col("root").isNull()).select("row_key")).distinct()
+    keyed = docs.withColumns({"_k": row_key(docs), "_text": F.xxhash64("text")})
+    kept = keyed.join(keep, F.col("_k") == F.col("k"), "left_semi")
+    return kept.dropDuplicates(["_k", "_text"]).drop("_k", "_text")

@@ -75,11 +75,13 @@ def schedule(spark: SparkSession, shares: list[float], slots: int = SLOTS) -> Da
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slots: int = SLOTS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and start, the document's first word in its source's stream."""
+    """doc_id, source, size, source_size, target, taken, start (the document's first word in its source's stream) and
+    row_key, a hash of the whole row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     rows = docs.select(
-        "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))).alias("h")
+        "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))).alias("h"),
+        F.xxhash64(*docs.columns).alias("row_key"),
     ).withColumn("stripe", F.pmod(F.col("h"), F.lit(STRIPES)).cast("int"))
     rows = scratch.save(rows, "rows")  # sizes and hashes without texts
     # one row per source and stripe; sources are the few named parts of a corpus
@@ -97,17 +99,17 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slots: int = SL
         "src int, source string, source_size long, target double, blocks long",
     )
     where = F.broadcast(want)  # one row per source
-    within = Window.partitionBy("source", "stripe").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "stripe").orderBy("h", "doc_id", "size", "row_key").rowsBetween(Window.unboundedPreceding, -1)
     stream = (
         rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
         .alias("r")
         # one row per source and stripe
         .join(F.broadcast(parts.select(F.col("source").alias("s2"), F.col("stripe").alias("t2"), "before")), F.col("source").eqNullSafe(F.col("s2")) & (F.col("stripe") == F.col("t2")))
         .withColumn("start", F.col("before") + F.col("inner"))
-        .select("doc_id", F.col("r.source"), "size", "start")
+        .select("doc_id", F.col("r.source"), "size", "start", "row_key")
         .alias("r")
         .join(where.alias("w"), F.col("r.source").eqNullSafe(F.col("w.source")))
-        .select("doc_id", F.col("r.source"), "size", "start", "src", "source_size", "target")
+        .select("doc_id", F.col("r.source"), "size", "start", "row_key", "src", "source_size", "target")
     )
     n_slots = max(1, round(dealt / block)) if dealt else 0
     taken_blocks = (
@@ -132,5 +134,15 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slots: int = SL
     )
     # a document with words is known by its place in its source's stream
     return stream.join(took.withColumnRenamed("src", "k_src").withColumnRenamed("start", "k_start"), (F.col("src") == F.col("k_src")) & (F.col("start") == F.col("k_start")) & (F.col("size") > 0), "left").select(
-        "doc_id", "source", "size", F.col("source_size"), "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "start"
+        "doc_id", "source", "size", F.col("source_size"), "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "start", "row_key"
     )
+
+
+def remixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """The mix itself: rows of docs, each as often as the mix takes it, to the nearest whole number."""
+    took = mixed(docs, weights).where("size > 0").select("row_key", F.expr("cast(floor(taken / size + 0.5) as int)").alias("times"))
+    took = took.groupBy("row_key").agg(F.sum("times").cast("int").alias("times")).where("times > 0")
+    # equal rows are met once and their numbers added up
+    keyed = docs.withColumns({"_k": F.xxhash64(*docs.columns), "_text": F.xxhash64("text")}).dropDuplicates(["_k", "_text"])
+    out = keyed.join(took, F.col("_k") == F.col("row_key")).withColumn("_copy", F.explode(F.sequence(F.lit(1), "times")))
+    return out.select(*docs.columns)

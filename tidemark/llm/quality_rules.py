@@ -8,7 +8,7 @@ Words are maximal runs of characters other than U+0020 and U+0009..U+000D. Every
 
 Edge cases: a null text is empty, has no words and fails the word-count rule; a text of any length is read whole, in
 its own row; rows are judged one by one, so repeated rows get equal verdicts; an empty table gives an empty result;
-other columns pass through ``kept`` untouched, and feature columns are named apart from them.
+other columns pass through ``kept`` untouched.
 """
 
 from __future__ import annotations
@@ -22,84 +22,66 @@ from pyspark.sql import functions as F
 WS = "\\\\x20\\\\x09-\\\\x0D"
 #: The sample that costs and selectivities are estimated on has about this many rows.
 SAMPLE_ROWS = 1000
-#: Features by name: a SQL expression over the text ({t}) and earlier features, and the features it needs. Arrays that
-#: are used more than once are features of their own, so that each is computed once.
-FEATURES: dict[str, tuple[str, tuple[str, ...]]] = {
-    "q_words": (f"array_remove(split({{t}}, '[{WS}]+'), '')", ()),
-    "n_words": ("cast(size(q_words) as bigint)", ("q_words",)),
-    "word_chars": ("cast(length(array_join(q_words, '')) as bigint)", ("q_words",)),
-    "n_symbols": ("cast(regexp_count({t}, '[#*$%&|<>]') as bigint)", ()),
-    "n_bangs": ("cast(regexp_count({t}, '!!') as bigint)", ()),
-    "q_lines": (f"filter(split({{t}}, '\\\\n'), x -> x rlike '[^{WS}]')", ()),
-    "n_lines": ("cast(size(q_lines) as bigint)", ("q_lines",)),
-    "n_dup_lines": ("cast(size(q_lines) - size(array_distinct(q_lines)) as bigint)", ("q_lines",)),
-    "q_grams": (
-        "CASE WHEN size(q_words) > 5 THEN transform(sequence(1, size(q_words) - 4), i -> xxhash64(slice(q_words, i, 5))) ELSE cast(array() as array<bigint>) END",
-        ("q_words",),
-    ),
-    "q_repeats": ("size(array_distinct(q_grams)) < size(q_grams)", ("q_grams",)),
-    "q_sorted": (
-        "CASE WHEN q_repeats THEN sort_array(transform(q_grams, (g, i) -> struct(g AS g, i AS i))) ELSE cast(array() as array<struct<g: bigint, i: int>>) END",
-        ("q_repeats", "q_grams"),
-    ),
-    "q_places": (
-        "sort_array(transform(filter(q_sorted, (e, i) -> (i > 0 AND get(q_sorted, i - 1).g = e.g) OR (i < size(q_sorted) - 1 AND get(q_sorted, i + 1).g = e.g)), e -> e.i))",
-        ("q_sorted",),
-    ),
-    "n_repeat_words": (
-        "aggregate(q_places, struct(0L AS n, -5 AS at), (a, x) -> struct(a.n + least(5, x - a.at) AS n, x AS at), a -> a.n)",
-        ("q_places",),
-    ),
-}
+
+
+def let(value: str, name: str, body: str) -> str:
+    """SQL for body with name bound to value, which is computed once however often the name occurs. The optimizer may
+    move or copy the whole, but never takes the parts apart."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+WORDS = f"array_remove(split({{t}}, '[{WS}]+'), '')"
+_LINES = f"filter(split({{t}}, '\\n'), x -> x rlike '[^{WS}]')"
+_GRAMS = "transform(sequence(1, size({w}) - 4), i -> xxhash64(slice({w}, i, 5)))"
+_PLACES = (
+    "sort_array(transform(filter(s, (e, i) -> (i > 0 AND get(s, i - 1).g = e.g) OR (i < size(s) - 1 AND get(s, i + 1).g = e.g)), e -> e.i))"
+)
+_COVERED = "aggregate(p, struct(0L AS n, -5 AS at), (a, x) -> struct(a.n + least(5, x - a.at) AS n, x AS at), a -> a.n)"
+_SORTED = "sort_array(transform(g, (h, i) -> struct(h AS g, i AS i)))"
+#: Features by name: SQL over the text {t} and its words {w}.
+FEATURES: dict[str, str] = {
+    "n_words": "cast(size({w}) as bigint)",
+    "word_chars": "cast(length(array_join({w}, '')) as bigint)",
+    "n_symbols": "cast(regexp_count({t}, '[#*$%&|<>]') as bigint)",
+    "n_bangs": "cast(regexp_count({t}, '!!') as bigint)",
+    "n_lines": f"cast(size({_LINES}) as bigint)",
+    "n_dup_lines": f"cast({let(_LINES, 'l', 'size(l) - size(array_distinct(l))')} as bigint)",
+    "n_repeat_words": "CASE WHEN size({w}) > 5 THEN "
+    + let(_GRAMS, "g", "CASE WHEN size(array_distinct(g)) < size(g) THEN " + let(_SORTED, "s", let(_PLACES, "p", _COVERED)) + " ELSE 0L END")
+    + " ELSE 0L END",
+}
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects the rows where ``rejects`` holds; ``needs`` are the features that it reads."""
+    """Rejects the rows where ``rejects`` holds, a predicate over features in braces."""
 
     name: str
     rejects: str
-    needs: tuple[str, ...]
+
+    def over(self, text: str, words: str) -> str:
+        return self.rejects.format(**{f: e.format(t=text, w=words) for f, e in FEATURES.items()})
+
+    def over_columns(self) -> str:
+        return self.rejects.format(**{f: f for f in FEATURES})
 
 
 #: These two decide base_failed.
 BASE_RULES = (
-    Rule("few_words", "n_words < 10", ("n_words",)),
-    Rule("repeated_words", "100 * n_repeat_words > 20 * n_words", ("n_repeat_words", "n_words")),
+    Rule("few_words", "{n_words} < 10"),
+    Rule("repeated_words", "100 * {n_repeat_words} > 20 * {n_words}"),
 )
 RULES = (
     *BASE_RULES,
-    Rule("symbols", "100 * n_symbols > 30 * n_words", ("n_symbols", "n_words")),
-    Rule("bangs", "100 * n_bangs > 30 * n_words", ("n_bangs", "n_words")),
-    Rule("word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words", ("word_chars", "n_words")),
-    Rule("repeated_lines", "100 * n_dup_lines > 50 * n_lines", ("n_dup_lines", "n_lines")),
+    Rule("symbols", "100 * {n_symbols} > 30 * {n_words}"),
+    Rule("bangs", "100 * {n_bangs} > 30 * {n_words}"),
+    Rule("word_length", "{word_chars} < 2 * {n_words} OR {word_chars} > 15 * {n_words}"),
+    Rule("repeated_lines", "100 * {n_dup_lines} > 50 * {n_lines}"),
 )
 
 
-def closure(names: tuple[str, ...]) -> list[str]:
-    """The features named and all that they need, in an order in which each can be computed."""
-    wanted: set[str] = set()
-
-    def add(name: str) -> None:
-        for x in FEATURES[name][1]:
-            add(x)
-        wanted.add(name)
-
-    for name in names:
-        add(name)
-    return [f for f in FEATURES if f in wanted]
-
-
-def with_features(df: DataFrame, names: tuple[str, ...], text: str = "text", unless: str | None = None) -> DataFrame:
-    """Adds features that df doesn't have yet. Where the column ``unless`` isn't null they aren't computed, but null."""
-    body = f"coalesce(`{text}`, '')"
-    left = [f for f in closure(names) if f not in df.columns]
-    while left:
-        ready = [f for f in left if not set(FEATURES[f][1]) & set(left)]
-        made = {f: FEATURES[f][0].format(t=body) for f in ready}
-        df = df.withColumns({f: F.expr(f"CASE WHEN `{unless}` IS NULL THEN {e} END" if unless else e) for f, e in made.items()})
-        left = [f for f in left if f not in made]
-    return df
+def body(text: str) -> str:
+    return f"coalesce(`{text}`, '')"
 
 
 def estimated_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
@@ -108,13 +90,13 @@ def estimated_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str
     if not total:
         return rules
     share = min(1.0, 4 * rows / total)
-    body = docs.select(F.col(text)).where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(share * 1_000_000)).limit(rows)
-    sample = body.persist()
+    drawn = docs.select(F.col(text)).where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(share * 1_000_000)).limit(rows)
+    sample = drawn.persist()
     try:
         n = max(1, sample.count())
         scored = []
         for i, rule in enumerate(rules):
-            asked = with_features(sample, rule.needs, text).agg(F.count_if(F.expr(rule.rejects)))
+            asked = sample.agg(F.count_if(rejected_by((rule,), text).isNotNull()))
             asked.collect()  # compiles
             began = time.perf_counter()
             rejected = asked.collect()[0][0]
@@ -125,36 +107,28 @@ def estimated_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str
     return tuple(rule for *_, rule in sorted(scored, key=lambda x: x[:2]))
 
 
-def verdict(order: tuple[Rule, ...]) -> Column:
-    """Name of the first rule in order that rejects a row whose features are there, or null."""
-    out = F.lit(None).cast("string")
-    for rule in reversed(order):
-        out = F.when(F.expr(rule.rejects), F.lit(rule.name)).otherwise(out)
-    return out
-
-
-def cascade(docs: DataFrame, order: tuple[Rule, ...], text: str = "text", out: str = "rejected_by") -> DataFrame:
-    """Adds the name of the rule that rejects a row, or null. A rule's features aren't computed for rows that an
-    earlier one rejected; columns that were there keep their names and places."""
-    df = docs.withColumn(out, F.lit(None).cast("string"))
-    for rule in order:
-        df = with_features(df, rule.needs, text, unless=out)
-        df = df.withColumn(out, F.when(F.col(out).isNotNull(), F.col(out)).when(F.expr(rule.rejects), F.lit(rule.name)))
-    return df.select(*docs.columns, out)
+def rejected_by(order: tuple[Rule, ...], text: str = "text") -> Column:
+    """Name of the first rule in order that rejects a row, or null. A rule's features are computed only where no earlier
+    rule rejected the row."""
+    t = body(text)
+    cases = " ".join(f"WHEN {rule.over(t, 'w')} THEN '{rule.name}'" for rule in order)
+    return F.expr(let(WORDS.format(t=t), "w", f"CASE {cases} END"))
 
 
 def kept(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that no rule rejects."""
-    return cascade(docs, estimated_order(docs, rules), out="_rejected_by").where(F.col("_rejected_by").isNull()).drop("_rejected_by")
+    return docs.where(rejected_by(estimated_order(docs, rules)).isNull())
 
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Counts and verdict of every document, for reports: here every feature is wanted for every row."""
-    base = " OR ".join(f"({r.rejects})" for r in BASE_RULES)
     order = estimated_order(docs, rules)
-    names = tuple(dict.fromkeys(f for r in rules for f in r.needs)) + ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    full = with_features(docs.select("doc_id", "text"), names)
+    t = body("text")
+    full = docs.select("doc_id", "text", F.expr(WORDS.format(t=t)).alias("_words"))
+    full = full.select("doc_id", *(F.expr(e.format(t=t, w="_words")).alias(f) for f, e in FEATURES.items()))
+    base = F.expr(" OR ".join(f"({r.over_columns()})" for r in BASE_RULES))
+    cases = " ".join(f"WHEN {rule.over_columns()} THEN false" for rule in order)
     return full.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.expr(base).alias("base_failed"), verdict(order).isNull().alias("kept"),
+        base.alias("base_failed"), F.expr(f"CASE {cases} ELSE true END").alias("kept"),
     )
