@@ -12,6 +12,7 @@ from ..session import ship
 
 #: Rows that go to a Python worker at once; bounds its memory when texts are long.
 BATCH_ROWS = 256
+_own: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -20,9 +21,10 @@ def shared_root(spark: SparkSession) -> str:
     if root:
         return root
     if spark.sparkContext.master.startswith("local["):
-        root = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        return root
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="tidemark-")
+        return _own[app]
     return spark.conf.get("spark.sql.warehouse.dir")
 
 
