@@ -11,9 +11,12 @@ whole; repeated rows are documents of their own; an empty table gives an empty r
 
 from __future__ import annotations
 
+import json
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +28,13 @@ from ._store import Scratch
 CAPACITY = 1024
 END_ID = 2
 #: Parts of a length's pieces that are ranked apart, so that a common length is ranked by many tasks.
-PARTS = 256
+PARTS = 64
 #: Pieces of text whose ids a worker remembers; further ones are encoded each time.
 CACHE = 400_000
 CACHED_CHARS = 64
 #: The byte-level tokenizer's split of a text; no merge crosses it.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 _encoders: dict[str, Encoder] = {}
 
 
@@ -51,12 +55,31 @@ class Encoder(dict):
         self.model = Tokenizer.from_file(path)
         self.cut = regex.compile(PIECES).findall
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.merge = self._ranked(path)
+
+    @staticmethod
+    def _ranked(path: str) -> Callable[[str], list[int]] | None:
+        """The same merges by rank tables, which take a tenth of the time a piece, where ids ascend as merges do."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, pairs = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        ids = [vocab["".join(m)] for m in pairs]
+        # the byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        if ids != sorted(set(ids)) or ids and max(vocab.get(c, 0) for c in byte) > ids[0]:
+            return None
+        merged = set(ids)
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if i in merged or len(t) == 1}
+        return tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.whole(piece)
+        ids = array("I", self.merge(piece)).tobytes() if self.merge and LITTLE else self.whole(piece)
         if len(self) < CACHE and len(piece) <= CACHED_CHARS:
             self[piece] = ids
         return ids
