@@ -12,9 +12,12 @@ shared shingles of a linked pair are among the first d + k of either set.
   rows of lists and pairs scanned in them for heavy ones, from counts over all sets by size.
 
 Only connected classes are wanted, so a list isn't expanded into all of its pairs. First each list ties its sets to a
-leader; candidates that survive the bounds on their sizes, places and leading shingles are verified on their whole sets.
-Then the lists are scanned again, now only for pairs whose sets are still in different classes. All such pairs that the
-bounds allow are verified, so no link between classes is lost.
+leader; candidates that survive the bounds on their sizes and sketches are verified on their whole sets. Then the lists
+are scanned again, now only for pairs whose sets are still in different classes. All such pairs that the bounds allow are
+verified, so no link between classes is lost.
+
+A sketch has about a bit for each shingle: the parity of the shingles whose hash falls on it. Each bit in which two
+sketches differ stands for a shingle that only one of the sets has, so their number bounds the overlap from above.
 
 Words are lower-cased in A-Z only. A document with fewer words than a shingle has its whole sequence as one. Edge cases:
 documents without words have an empty set and link with nothing, and a null text is one of them; a text of any length is
@@ -44,6 +47,8 @@ HOT_LIST, HOT_MIN = 1 << 18, 8
 PAIR_COST = 2.0
 #: Bits of the bitmap of sets that are wanted whole: of fixed size, and a false hit only costs work.
 BITS = 26
+#: The longest sketch has 2**MOST_BITS bits.
+MOST_BITS = 15
 LIST_ROWS = 50_000
 PAIRS_AT_ONCE = 100_000
 U64 = np.uint64
@@ -77,9 +82,8 @@ class Join:
         return -(-self.num * (a + b) // (self.num + self.den))
 
     def kept_prefix(self, a: int) -> int:
-        """How many of its first shingles are kept of a set, for the lists and for the bound before verification."""
-        d = self.lacks(a)
-        return min(a, d + 2 + d // 4)
+        """How many of its first shingles are kept of a set, for lists and subsets."""
+        return min(a, self.lacks(a) + 2)
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -104,6 +108,21 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the set's shingles by the low bits of their hashes, as 64-bit words; their number is a power of two."""
+    bits = 1 << max(6, min(MOST_BITS, (len(tokens) - 1).bit_length()))
+    odd = np.bincount((tokens & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U64)
+
+
+def folded(words: np.ndarray, to: int) -> np.ndarray:
+    """Sketches in rows, of that many words: what shorter sketches of the same sets would be."""
+    while words.shape[-1] > to:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
+
+
 def ordered(tokens: np.ndarray, hot: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
     """The first shingles of a set in the order of all sets."""
     if not len(hot):
@@ -149,24 +168,25 @@ def frequent(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray]:
 
 
 def profiles(docs: DataFrame, join: Join, sent: object) -> DataFrame:
-    """doc_id, row_key, n, fp_a, fp_b and prefix of every document."""
+    """doc_id, row_key, n, fp_a, fp_b, sketch and prefix of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, counts = sent.value
         for b in batches:
-            n, fp, prefixes = [], [], []
+            n, fp, sketches, prefixes = [], [], [], []
             for _, tokens in shingle_sets(b.column("text"), join.n):
                 n.append(len(tokens))
                 fp.append(fingerprint(tokens))
+                sketches.append(sketch(tokens).tobytes())
                 prefixes.append(ordered(tokens, hot, counts, join.kept_prefix(len(tokens))))
             edge = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             values = np.concatenate(prefixes) if prefixes else np.zeros(0, U64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("row_key"), pa.array(n, pa.int64()), pa.array([f[0] for f in fp], pa.int64()), pa.array([f[1] for f in fp], pa.int64()), pa.ListArray.from_arrays(pa.array(edge), pa.array(values.view(np.int64)))],
-                names=["doc_id", "row_key", "n", "fp_a", "fp_b", "prefix"],
+                [b.column("doc_id"), b.column("row_key"), pa.array(n, pa.int64()), pa.array([f[0] for f in fp], pa.int64()), pa.array([f[1] for f in fp], pa.int64()), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(edge), pa.array(values.view(np.int64)))],
+                names=["doc_id", "row_key", "n", "fp_a", "fp_b", "sketch", "prefix"],
             )
 
-    return docs.select("doc_id", "row_key", "text").mapInArrow(run, "doc_id long, row_key long, n long, fp_a long, fp_b long, prefix array<long>")
+    return docs.select("doc_id", "row_key", "text").mapInArrow(run, "doc_id long, row_key long, n long, fp_a long, fp_b long, sketch binary, prefix array<long>")
 
 
 def boundary(sets: DataFrame, join: Join) -> int:
@@ -292,18 +312,36 @@ def across(rows: DataFrame, join: Join, light: int) -> DataFrame:
         for t in whole_lists(batches):
             key, n, sid, place, root = (t.column(c).to_numpy() for c in ("key", "n", "sid", "place", "root"))
             edge = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+            blobs = t.column("sketch").to_pylist()
             out: list[np.ndarray] = []
             count = 0
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
                 if (root[lo:hi] == root[lo]).all():
                     continue
                 single = bool(key[lo] & 1)
+                same: dict[int, tuple[int, np.ndarray]] = {}  # words -> first row, sketches; longer sets come later
+                words = np.array([len(x) // 8 for x in blobs[lo:hi]])
+                for w in np.unique(words):
+                    rows = np.flatnonzero(words == w)
+                    same[int(w)] = (lo + int(rows[0]), np.frombuffer(b"".join(blobs[lo + rows[0] : lo + rows[-1] + 1]), dtype=U64).reshape(-1, w))
                 for i in range(lo, hi - 1):
                     end = i + 1 + int(np.searchsorted(n[i + 1 : hi], join.largest(int(n[i])), side="right"))
                     j = np.arange(i + 1, end)
-                    ok = (root[j] != root[i]) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= join.needed(n[i].astype(np.int64), n[j].astype(np.int64)))
+                    need = join.needed(n[i].astype(np.int64), n[j].astype(np.int64))
+                    ok = (root[j] != root[i]) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= need)
                     if single:
                         ok &= n[j] > light
+                    j, need = j[ok], need[ok]
+                    if not len(j):
+                        continue
+                    own = int(words[i - lo])
+                    mine = same[own][1][i - same[own][0]]
+                    differ = np.empty(len(j), dtype=np.int64)
+                    for w in np.unique(words[j - lo]):
+                        at = words[j - lo] == w
+                        theirs = folded(same[int(w)][1][j[at] - same[int(w)][0]], own)
+                        differ[at] = np.bitwise_count(theirs ^ mine).sum(1)
+                    ok = n[i].astype(np.int64) + n[j] - differ >= 2 * need
                     j = j[ok]
                     if len(j):
                         out.append(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])]))
@@ -319,45 +357,24 @@ def across(rows: DataFrame, join: Join, light: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(run, "a long, b long").distinct()
 
 
-def bounded(pairs: DataFrame, sets: DataFrame, join: Join, sent: object) -> DataFrame:
-    """The pairs a, b that may link by the first shingles of both sets, with their sizes and fingerprints."""
-    side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("fp_a").alias(f"fa_{x}"), F.col("fp_b").alias(f"fb_{x}"), F.col("prefix").alias(f"p_{x}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    names = ["a", "b", "n_a", "n_b", "fa_a", "fb_a", "fa_b", "fb_b"]
+def bounded(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """The pairs a, b that may link by the sizes and sketches of both sets, with their fingerprints."""
+    side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("fp_a").alias(f"fa_{x}"), F.col("fp_b").alias(f"fb_{x}"), F.col("sketch").alias(f"s_{x}"))
+    names = ["a", "b", "fa_a", "fb_a", "fa_b", "fb_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, counts = sent.value
-
-        def rank(tokens: np.ndarray) -> np.ndarray:
-            """Frequency first, as in the order."""
-            if not len(hot):
-                return np.zeros(len(tokens), dtype=np.int64)
-            at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
-            return np.where(hot[at] == tokens, counts[at], 0)
-
         for b in batches:
             n_a, n_b = b.column("n_a").to_numpy(), b.column("n_b").to_numpy()
-            need = join.needed(n_a, n_b)
-            keep = np.zeros(b.num_rows, dtype=bool)
-            cols = [(b.column(c).offsets.to_numpy(), b.column(c).values.to_numpy().view(U64)) for c in ("p_a", "p_b")]
-            for i in range(b.num_rows):
-                x, y = (v[e[i] : e[i + 1]] for e, v in cols)
-                # up to the earlier of the two ends, both sets are known
-                ends = [(int(rank(z[-1:])[0]), int(z[-1])) if len(z) < m else (1 << 62, 0) for z, m in ((x, n_a[i]), (y, n_b[i]))]
-                end = min(ends)
-                if end[0] == 1 << 62:
-                    known_x, known_y = len(x), len(y)
-                elif ends[0] <= ends[1]:
-                    known_x, r = len(x), rank(y)
-                    known_y = int(((r < end[0]) | ((r == end[0]) & (y <= U64(end[1])))).sum())
-                else:
-                    known_y, r = len(y), rank(x)
-                    known_x = int(((r < end[0]) | ((r == end[0]) & (x <= U64(end[1])))).sum())
-                shared = len(np.intersect1d(x[:known_x], y[:known_y], assume_unique=True))
-                keep[i] = shared + min(n_a[i] - known_x, n_b[i] - known_y) >= need[i]
+            differ = np.empty(b.num_rows, dtype=np.int64)
+            for i, (x, y) in enumerate(zip(b.column("s_a"), b.column("s_b"), strict=True)):
+                x, y = (np.frombuffer(z.as_buffer(), dtype=U64) for z in (x, y))
+                to = min(len(x), len(y))
+                differ[i] = np.bitwise_count(folded(x, to) ^ folded(y, to)).sum()
+            keep = n_a + n_b - differ >= 2 * join.needed(n_a, n_b)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in names], names=names).filter(pa.array(keep))
 
-    return met.select(*names, "p_a", "p_b").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    return met.select(*names, "n_a", "n_b", "s_a", "s_b").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def wanted(keys: DataFrame, bits: int = BITS) -> np.ndarray:
@@ -422,8 +439,8 @@ def classed(docs: DataFrame, join: Join) -> DataFrame:
     scratch = Scratch(spark, "jaccard")
     sent = spark.sparkContext.broadcast(frequent(docs, join))  # at most HOT_LIST shingles
     rows = scratch.save(profiles(docs, join, sent), "profiles")
-    members = scratch.save(rows.drop("prefix"), "members")
-    own = rows.where("n > 0").groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    members = scratch.save(rows.drop("prefix", "sketch"), "members")
+    own = rows.where("n > 0").groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
     sets = scratch.save(own.withColumn("sid", F.monotonically_increasing_id()), "sets")
     del rows, own
     scratch.drop("profiles")
@@ -434,7 +451,7 @@ def classed(docs: DataFrame, join: Join) -> DataFrame:
     scratch.release()
     # first each list's leader with the others
     pairs = lists.where("lead >= 0").select(F.least("lead", "sid").alias("a"), F.greatest("lead", "sid").alias("b")).distinct()
-    pairs = scratch.save(bounded(pairs, sets, join, sent), "led-pairs")
+    pairs = scratch.save(bounded(pairs, sets, join), "led-pairs")
     tested = scratch.save(verified(pairs, docs, join), "led-links")
     scratch.release()
     links = tested.where("linked").select("a", "b")
@@ -442,9 +459,10 @@ def classed(docs: DataFrame, join: Join) -> DataFrame:
     # then what is still in different classes of a list
     rooted = lists.drop("lead").join(roots, F.col("sid") == F.col("node"), "left").select("key", "n", "place", "sid", F.coalesce("root", "sid").alias("root"))
     split = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    pairs = across(rooted.join(split, "key", "left_semi"), join, light)
+    rooted = rooted.join(split, "key", "left_semi").join(sets.select("sid", "sketch"), "sid")
+    pairs = across(rooted, join, light)
     pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    pairs = scratch.save(bounded(pairs, sets, join, sent), "across-pairs")
+    pairs = scratch.save(bounded(pairs, sets, join), "across-pairs")
     more = scratch.save(verified(pairs, docs, join).where("linked").select("a", "b"), "across-links")
     scratch.drop("lists")
     scratch.release()
