@@ -33,6 +33,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{WS}]+")), F.lit(0)).cast("long")
 
 
+def row_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def source_targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, cap: float = EPOCHS) -> list[float]:
     """Targets of sources in their order: shares of all words by weight, stopped at cap times a source's size, with the
     excess dealt by weight among the others until none is above."""
@@ -81,7 +85,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slots: int = SL
     scratch = Scratch(spark, "mixing")
     rows = docs.select(
         "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))).alias("h"),
-        F.xxhash64(*docs.columns).alias("row_key"),
+        row_hash(docs).alias("row_key"),
     ).withColumn("stripe", F.pmod(F.col("h"), F.lit(STRIPES)).cast("int"))
     rows = scratch.save(rows, "rows")  # sizes and hashes without texts
     # one row per source and stripe; sources are the few named parts of a corpus
@@ -140,9 +144,9 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slots: int = SL
 
 def remixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """The mix itself: rows of docs, each as often as the mix takes it, to the nearest whole number."""
-    took = mixed(docs, weights).where("size > 0").select("row_key", F.expr("cast(floor(taken / size + 0.5) as int)").alias("times"))
-    took = took.groupBy("row_key").agg(F.sum("times").cast("int").alias("times")).where("times > 0")
+    took = mixed(docs, weights).where("size > 0").select(F.col("row_key").alias("_row"), F.expr("cast(floor(taken / size + 0.5) as int)").alias("_times"))
+    took = took.groupBy("_row").agg(F.sum("_times").cast("int").alias("_times")).where("_times > 0")
     # equal rows are met once and their numbers added up
-    keyed = docs.withColumns({"_k": F.xxhash64(*docs.columns), "_text": F.xxhash64("text")}).dropDuplicates(["_k", "_text"])
-    out = keyed.join(took, F.col("_k") == F.col("row_key")).withColumn("_copy", F.explode(F.sequence(F.lit(1), "times")))
-    return out.select(*docs.columns)
+    keyed = docs.withColumns({"_key": row_hash(docs), "_text": F.xxhash64("text")}).dropDuplicates(["_key", "_text"])
+    out = keyed.join(took, F.col("_key") == F.col("_row")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
