@@ -40,6 +40,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_root(spark).rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        # a step's shuffle files go when it is over, and don't pile up until the driver collects its garbage
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
