@@ -2,7 +2,8 @@
 
 Two documents link when den * |intersection| >= num * |union| of their shingle sets. Sets that are equal are taken as
 one. Let c(a) be the least overlap of a set of size a with any partner, and d = a - c(a) the most that it can lack.
-Shingles have one order for all sets: those found frequent go last, by frequency, the rest by hash. Then the k smallest
+Shingles have one order for all sets: those found frequent go last, by frequency, the rest by the frequency of their
+rarest word, which bounds their own, and by hash. Then the k smallest
 shared shingles of a linked pair are among the first d + k of either set.
 
 * Light sets enumerate the subsets of two among their first d + 2 shingles; a linked pair shares one of them.
@@ -16,7 +17,7 @@ leader; candidates that survive the bounds on their sizes and sketches are verif
 are scanned again, now only for pairs whose sets are still in different classes. All such pairs that the bounds allow are
 verified, so no link between classes is lost.
 
-A sketch has about a bit for each shingle: the parity of the shingles whose hash falls on it. Each bit in which two
+A sketch has a bit for one or two shingles: the parity of the shingles whose hash falls on it. Each bit in which two
 sketches differ stands for a shingle that only one of the sets has, so their number bounds the overlap from above.
 
 Words are lower-cased in A-Z only. A document with fewer words than a shingle has its whole sequence as one. Edge cases:
@@ -41,7 +42,7 @@ from .components import components
 
 #: Shingles of so many documents of one stretch are counted at once.
 COUNT_TOKENS = 1 << 22
-#: Frequent shingles that go last in the order: at most HOT_LIST, in HOT_MIN documents or more.
+#: Frequent shingles that go last in the order, and frequent words: at most HOT_LIST of either, found HOT_MIN times or more.
 HOT_LIST, HOT_MIN = 1 << 18, 8
 #: Cost of a pair that is met in a list, in rows of a list or of a subset.
 PAIR_COST = 2.0
@@ -86,19 +87,62 @@ class Join:
         return min(a, self.lacks(a) + 2)
 
 
-def shingle_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted hashes of its distinct shingles)."""
+@dataclass(frozen=True)
+class Order:
+    """What the order of shingles goes by: frequent shingles with their counts and frequent words with theirs, sorted by
+    hash. It is the same for all sets; any other would give the same links at another cost."""
+
+    hot: np.ndarray
+    counts: np.ndarray
+    words: np.ndarray
+    word_counts: np.ndarray
+
+    def of_words(self, hashes: np.ndarray) -> np.ndarray:
+        """A class of frequency of each word, 0 for words that aren't frequent."""
+        if not len(self.words):
+            return np.zeros(len(hashes), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, self.word_counts[at], 0)
+
+    def first(self, tokens: np.ndarray, rarest: np.ndarray, most: int) -> np.ndarray:
+        """The first shingles of a set, given by hash, with the classes of their rarest words."""
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, tokens), len(self.hot) - 1)
+            count = np.where(self.hot[at] == tokens, self.counts[at], 0)
+        else:
+            count = np.zeros(len(tokens), dtype=np.int64)
+        return tokens[np.lexsort((tokens, rarest, count))[:most]]
+
+
+def shingle_sets(texts: pa.Array, n: int, order: Order | None = None, words_too: list | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
+    """(row, sorted hashes of its distinct shingles, with an order the classes of their rarest words). The hashes of all
+    words are added to words_too."""
     for base, buf, offs in _text.chunks(texts):
         buf = _text.lowered(buf)
         starts, ends, at = _text.words(buf, offs)
-        grams = _text.Grams(_text.word_hashes(buf, starts, ends))
+        of_words = _text.word_hashes(buf, starts, ends)
+        if words_too is not None:
+            words_too.append(of_words)
+        grams = _text.Grams(of_words)
         count = np.diff(at)
         own = np.where(count >= n, count - n + 1, np.minimum(count, 1))
         first = np.repeat(at[:-1], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-        hashes = grams(first, np.repeat(np.minimum(count, n), own))
+        size = np.repeat(np.minimum(count, n), own)
+        hashes = grams(first, size)
+        rarest = None
+        if order is not None:
+            classes = order.of_words(of_words)
+            rarest = classes[first] if len(first) else classes[:0]
+            for k in range(1, n):
+                rarest = np.minimum(rarest, classes[first + np.minimum(k, size - 1)])
         edge = np.concatenate([[0], np.cumsum(own)])
         for i in range(len(count)):
-            yield base + i, np.unique(hashes[edge[i] : edge[i + 1]])
+            own_hashes = hashes[edge[i] : edge[i + 1]]
+            if rarest is None:
+                yield base + i, np.unique(own_hashes), None
+            else:
+                tokens, where = np.unique(own_hashes, return_index=True)
+                yield base + i, tokens, rarest[edge[i] : edge[i + 1]][where]
 
 
 def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
@@ -110,7 +154,7 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
     """Parities of the set's shingles by the low bits of their hashes, as 64-bit words; their number is a power of two."""
-    bits = 1 << max(6, min(MOST_BITS, (len(tokens) - 1).bit_length()))
+    bits = 1 << max(6, min(MOST_BITS, (len(tokens) - 1).bit_length() - 1))
     odd = np.bincount((tokens & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(U64)
 
@@ -123,62 +167,55 @@ def folded(words: np.ndarray, to: int) -> np.ndarray:
     return words
 
 
-def ordered(tokens: np.ndarray, hot: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
-    """The first shingles of a set in the order of all sets."""
-    if not len(hot):
-        return tokens[:most]
-    at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
-    is_hot = hot[at] == tokens
-    out = tokens[~is_hot][:most]
-    if len(out) < most:
-        last = tokens[is_hot][np.argsort(counts[at[is_hot]], kind="stable")]
-        out = np.concatenate([out, last[: most - len(out)]])
-    return out
-
-
-def frequent(docs: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many documents have, sorted by hash, and their counts. Only the order depends on them, never what
-    links; the list is of bounded size."""
+def frequent(docs: DataFrame, join: Join) -> Order:
+    """Shingles that many documents have and words that occur often, as counted in stretches of the input. Only the order
+    depends on them, never what links; both lists are of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total, seen = [], 0, set()
+        held, words, total, seen = [], [], 0, set()
 
-        def counted() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held) if held else np.zeros(0, U64), return_counts=True)
-            own = n > 1
-            return pa.RecordBatch.from_arrays([pa.array(h[own].view(np.int64)), pa.array(n[own])], names=["h", "n"])
+        def counted() -> Iterator[pa.RecordBatch]:
+            for is_word, x in ((False, held), (True, words)):
+                h, n = np.unique(np.concatenate(x) if x else np.zeros(0, U64), return_counts=True)
+                own = n > 1 + is_word
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(own.sum(), is_word)), pa.array(h[own].view(np.int64)), pa.array(n[own])], names=["is_word", "h", "n"])
 
         for b in batches:
-            for _, tokens in shingle_sets(b.column("text"), join.n):
+            for _, tokens, _ in shingle_sets(b.column("text"), join.n, words_too=words):
                 if not len(tokens) or (f := fingerprint(tokens)) in seen:
                     continue
                 seen.add(f)
                 held.append(tokens)
                 total += len(tokens)
-                if total >= COUNT_TOKENS:
-                    yield counted()
-                    held, total, seen = [], 0, set()
-        yield counted()
-
-    found = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = found.where(F.col("n") >= HOT_MIN).orderBy(F.desc("n"), "h").limit(HOT_LIST).toArrow()  # bounded
-    h, n = top.column("h").to_numpy().view(U64), top.column("n").to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
+            if total >= COUNT_TOKENS:
+                yield from counted()
+                held, words, total, seen = [], [], 0, set()
+        yield from counted()
+
+    found = docs.select("text").mapInArrow(run, "is_word boolean, h long, n long").groupBy("is_word", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_MIN)
+    found = Scratch(docs.sparkSession, "frequent").save(found, "found")
+    out = []
+    for is_word in (False, True):
+        top = found.where(F.col("is_word") == is_word).orderBy(F.desc("n"), "h").limit(HOT_LIST).select("h", "n").toArrow()  # bounded
+        h, n = top.column("h").to_numpy().view(U64), top.column("n").to_numpy()
+        order = np.argsort(h)
+        # words by classes of frequency: factors of two
+        out += [h[order], np.floor(np.log2(n[order])).astype(np.int64) if is_word else n[order]]
+    return Order(*out)
 
 
 def profiles(docs: DataFrame, join: Join, sent: object) -> DataFrame:
     """doc_id, row_key, n, fp_a, fp_b, sketch and prefix of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, counts = sent.value
+        order = sent.value
         for b in batches:
             n, fp, sketches, prefixes = [], [], [], []
-            for _, tokens in shingle_sets(b.column("text"), join.n):
+            for _, tokens, rarest in shingle_sets(b.column("text"), join.n, order):
                 n.append(len(tokens))
                 fp.append(fingerprint(tokens))
                 sketches.append(sketch(tokens).tobytes())
-                prefixes.append(ordered(tokens, hot, counts, join.kept_prefix(len(tokens))))
+                prefixes.append(order.first(tokens, rarest, join.kept_prefix(len(tokens))))
             edge = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             values = np.concatenate(prefixes) if prefixes else np.zeros(0, U64)
             yield pa.RecordBatch.from_arrays(
@@ -291,13 +328,16 @@ def led(rows: DataFrame, join: Join) -> DataFrame:
                     lo += int(np.searchsorted(n[lo:hi], join.largest(int(n[lo])), side="right"))
             at = np.flatnonzero(new)
             stretch = np.cumsum(new) - 1
-            chief = np.minimum.reduceat(sid, at)
-            lead = chief[stretch]
+            chief = np.lexsort((sid, stretch))[at]  # the row of each stretch's smallest sid
             # leaders of neighbouring stretches of a list meet too
             before = np.append(-1, chief[:-1])
-            before[key[at] != np.append(key[at][0], key[at][:-1])] = -1
-            before[0] = -1
-            lead = np.where(sid == lead, before[stretch], lead)
+            before[key[at] != np.append(key[at][:1], key[at][:-1])] = -1
+            by = chief[stretch]
+            by = np.where(by == np.arange(len(sid)), before[stretch], by)
+            # the two may link by this list only if their sizes and places allow it
+            a, b = n[by].astype(np.int64), n.astype(np.int64)
+            may = (by >= 0) & (np.minimum(a - place[by], b - place) >= join.needed(a, b))
+            lead = np.where(may, sid[by], -1)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, n, place, sid, lead)], names=["key", "n", "place", "sid", "lead"])
 
     sorted_ = rows.repartition("key").sortWithinPartitions("key", "n", "sid")
@@ -394,7 +434,7 @@ def whole_sets(docs: DataFrame, join: Join, bitmap: object, bits: int = BITS) ->
         words, seen = bitmap.value, set()
         for b in batches:
             fp, blobs = [], []
-            for _, tokens in shingle_sets(b.column("text"), join.n):
+            for _, tokens, _ in shingle_sets(b.column("text"), join.n):
                 if len(tokens) and (f := fingerprint(tokens)) not in seen:
                     p = (f[0] & (1 << 64) - 1) >> (64 - bits)
                     if int(words[p >> 6]) >> (p & 63) & 1:
@@ -429,7 +469,7 @@ def verified(pairs: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
 
 def row_key(docs: DataFrame) -> Column:
     """A row's hash; rows of the same columns' values share it."""
-    return F.xxhash64(*docs.columns)
+    return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def classed(docs: DataFrame, join: Join) -> DataFrame:
@@ -437,7 +477,7 @@ def classed(docs: DataFrame, join: Join) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row_key"), "text")
     scratch = Scratch(spark, "jaccard")
-    sent = spark.sparkContext.broadcast(frequent(docs, join))  # at most HOT_LIST shingles
+    sent = spark.sparkContext.broadcast(frequent(docs, join))  # at most HOT_LIST shingles and words
     rows = scratch.save(profiles(docs, join, sent), "profiles")
     members = scratch.save(rows.drop("prefix", "sketch"), "members")
     own = rows.where("n > 0").groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
@@ -484,8 +524,8 @@ def representatives(docs: DataFrame, join: Join | None = None) -> DataFrame:
     """One row of docs for each class, with all of its columns: that of the smallest doc_id. Rows without words stay."""
     found = classed(docs, join or Join())
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
-    keep = found.where(F.col("root").isNotNull()).groupBy("root").agg(first.alias("f")).select(F.col("f.row_key").alias("k"))
+    keep = found.where(F.col("root").isNotNull()).groupBy("root").agg(first.alias("f")).select(F.col("f.row_key").alias("_keep"))
     keep = keep.union(found.where(F.col("root").isNull()).select("row_key")).distinct()
     keyed = docs.withColumns({"_k": row_key(docs), "_text": F.xxhash64("text")})
-    kept = keyed.join(keep, F.col("_k") == F.col("k"), "left_semi")
+    kept = keyed.join(keep, F.col("_k") == F.col("_keep"), "left_semi")
     return kept.dropDuplicates(["_k", "_text"]).drop("_k", "_text")
