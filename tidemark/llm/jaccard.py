@@ -17,7 +17,7 @@ leader; candidates that survive the bounds on their sizes and sketches are verif
 are scanned again, now only for pairs whose sets are still in different classes. All such pairs that the bounds allow are
 verified, so no link between classes is lost.
 
-A sketch has a bit for one or two shingles: the parity of the shingles whose hash falls on it. Each bit in which two
+A sketch has two to four bits for each shingle: the parity of the shingles whose hash falls on it. Each bit in which two
 sketches differ stands for a shingle that only one of the sets has, so their number bounds the overlap from above.
 
 Words are lower-cased in A-Z only. A document with fewer words than a shingle has its whole sequence as one. Edge cases:
@@ -49,7 +49,7 @@ PAIR_COST = 2.0
 #: Bits of the bitmap of sets that are wanted whole: of fixed size, and a false hit only costs work.
 BITS = 26
 #: The longest sketch has 2**MOST_BITS bits.
-MOST_BITS = 15
+MOST_BITS = 16
 LIST_ROWS = 50_000
 PAIRS_AT_ONCE = 100_000
 U64 = np.uint64
@@ -154,7 +154,7 @@ def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
     """Parities of the set's shingles by the low bits of their hashes, as 64-bit words; their number is a power of two."""
-    bits = 1 << max(6, min(MOST_BITS, (len(tokens) - 1).bit_length() - 1))
+    bits = 1 << max(6, min(MOST_BITS, (len(tokens) - 1).bit_length() + 1))
     odd = np.bincount((tokens & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(U64)
 
