@@ -272,6 +272,32 @@ def test_packing(docs, rows):
     assert len(filled) <= 1.02 * sum(r.length for r in got) / 1024 + 1
 
 
+def test_packed_ids(docs, rows):
+    encode = packing.Encoder(packing.tokenizer_path()).model
+    whole = Counter((i, (*encode.encode(t or "", add_special_tokens=False).ids, 2)) for i, t, _ in rows)
+    twice = docs.union(docs)  # copies repeat (doc_id, piece), as they do in a mix
+    placed = packing.packed(twice).persist()
+    got = placed.collect()
+    parts = defaultdict(list)
+    for r in got:
+        ids = tuple(np.frombuffer(r.ids, "<u4").tolist())
+        assert len(ids) == r.length and zlib.crc32(r.ids) == r.ids_crc32
+        parts[r.doc_id, r.start].append(ids)
+    want = defaultdict(list)
+    for (i, ids), n in whole.items():
+        lo, hi = 0, len(ids) % 1024 or min(len(ids), 1024)
+        while lo < len(ids):
+            want[i, lo] += [ids[lo:hi]] * 2 * n
+            lo, hi = hi, hi + 1024
+    assert {k: sorted(v) for k, v in parts.items()} == {k: sorted(v) for k, v in want.items()}
+    by_place = {(r.sequence_id, r.offset): r.ids for r in got}
+    for r in packing.sequences(placed).collect():
+        own = sorted(k for k in by_place if k[0] == r.sequence_id)
+        assert r.ids == b"".join(by_place[k] for k in own) and len(r.ids) == 4 * r.length <= 4096
+    assert {s for s, _ in by_place} == {r.sequence_id for r in packing.sequences(placed).collect()}
+    placed.unpersist()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 200), max_size=12))
 def test_plan_is_best_fit_decreasing(counts):

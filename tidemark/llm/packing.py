@@ -3,7 +3,8 @@
 Documents longer than a sequence are cut into pieces of its capacity; what is left over is their first piece. Best-fit
 decreasing runs over counts of equal lengths, not over pieces: all pieces of one length are placed by a few records,
 each of which says which sequences take how many of them, and where. Pieces then take the planned places by their rank
-within their length. The histogram and the plan are bounded by the capacity, whatever the number of documents.
+within their length, and carry their ids there. The histogram and the plan are bounded by the capacity, whatever the
+number of documents.
 
 Edge cases: a null text is empty, and an empty document is its closing id alone; a text of any length is tokenised
 whole; repeated rows are documents of their own; an empty table gives an empty result; other columns are not read.
@@ -32,6 +33,8 @@ PARTS = 64
 #: Pieces of text whose ids a worker remembers; further ones are encoded each time.
 CACHE = 400_000
 CACHED_CHARS = 64
+#: Pieces that a worker gives back at once: with their ids, 8 MB at most at a capacity of 1024.
+OUT_ROWS = 2048
 #: The byte-level tokenizer's split of a text; no merge crosses it.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
@@ -98,32 +101,37 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece; the first piece of a long document has what is left over."""
+    """doc_id, piece, start, length, ids_crc32, ids of every piece; the first piece of a long document has what is left
+    over. Ids are little-endian unsigned 32-bit integers."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         for b in batches:
-            row, piece, start, length, crc = [], [], [], [], []
+            rows: list[tuple[int, int, int, int, int, bytes]] = []
             for i, text in enumerate(b.column("text")):
                 ids = encode(text.as_py() or "") + end
                 n = len(ids) // 4
                 lo, k = 0, 0
                 hi = n % capacity or min(n, capacity)
                 while lo < n:
-                    row.append(i)
-                    piece.append(k)
-                    start.append(lo)
-                    length.append(hi - lo)
-                    crc.append(zlib.crc32(ids[4 * lo : 4 * hi]))
+                    own = ids[4 * lo : 4 * hi]
+                    rows.append((i, k, lo, hi - lo, zlib.crc32(own), own))
                     lo, hi, k = hi, hi + capacity, k + 1
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+                    if len(rows) == OUT_ROWS:
+                        yield as_batch(b, rows)
+                        rows = []
+            yield as_batch(b, rows)
+
+    def as_batch(b: pa.RecordBatch, rows: list[tuple[int, int, int, int, int, bytes]]) -> pa.RecordBatch:
+        row, piece, start, length, crc, ids = zip(*rows, strict=True) if rows else [()] * 6
+        return pa.RecordBatch.from_arrays(
+            [b.column("doc_id").take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(ids, pa.binary())],
+            names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
+        )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 #: A record of the plan: pieces of this length with ranks from first to end go, each at a time, to sequences from
@@ -203,7 +211,7 @@ class Lookup:
 
 
 def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset and ids of every piece."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     cut = pieces(docs, path or tokenizer_path(), capacity, end_id)
@@ -220,13 +228,22 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     before = spark.createDataFrame(first, "length long, part int, before long")
     inside = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32", "start")
     ranked = cut.withColumn("r", F.row_number().over(inside)).join(F.broadcast(before), ["length", "part"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("r") - 1).alias("rank"))
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "ids", (F.col("before") + F.col("r") - 1).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = sent.value
         for b in batches:
             sequence, offset = look(b.column("length").to_numpy(), b.column("rank").to_numpy())
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset), b.column("ids")], names=names)
 
     kind = dict(docs.dtypes)["doc_id"]
-    return ranked.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids binary")
+
+
+def sequences(placed: DataFrame) -> DataFrame:
+    """sequence_id, length and ids of every packed sequence, from the rows of packed(). A sequence has no more pieces
+    than its capacity."""
+    own = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    ids = F.unhex(F.array_join(F.transform(own, lambda x: F.hex(x["ids"])), ""))
+    return placed.groupBy("sequence_id").agg(F.sum("length").alias("length"), ids.alias("ids"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import jaccard, mixing, packing, quality_model, quality_rules, secrets, sharding, substring, topk, urls
 
@@ -48,7 +49,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(_table(spark, sf_dir, "documents"))
+    placed = packing.packed(_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
