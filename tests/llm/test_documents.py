@@ -238,6 +238,21 @@ def test_mix(docs, rows):
     assert again.columns == docs.columns
 
 
+@pytest.mark.parametrize("slots", [1, 64, mixing.SLOTS])
+def test_mix_of_tiny_sources(spark, slots):
+    sizes = {"a": [2], "b": [3] * 5, "c": [20_000, 9_000, 11_000], "d": [7] * 30, "e": [1], "f": [500] * 80}
+    rows = [(i, s, " ".join(["w"] * n)) for i, (s, n) in enumerate((s, n) for s, x in sizes.items() for n in x)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string, text string"), slots=slots).collect()
+    target = dict(zip(sizes, brute_targets([sum(x) for x in sizes.values()]), strict=True))
+    assert target["a"] == 6 and target["d"] == 630
+    for s, x in sizes.items():
+        own = sorted((r for r in got if r.source == s), key=lambda r: r.start)
+        n, words = sum(x), int(target[s] + 0.5)
+        assert sum(r.taken for r in own) == words
+        for r in own:  # words of the stream taken one by one
+            assert r.taken == sum(words // n + (w < words % n) for w in range(r.start, r.start + r.size))
+
+
 def test_schedule_is_even(spark):
     got = mixing.schedule(spark, [0.5, 0.3, 0.2], 4096).collect()
     for src, share in enumerate((0.5, 0.3, 0.2)):

@@ -1,10 +1,10 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
-Each source's documents are put in a hashed order and their words form one stream, which is cut into blocks of equally
-many words. A schedule of slots is laid out by the golden-ratio sequence: slot k's point frac(k * phi) falls into the
-cumulative shares of one source, so every stretch of the schedule holds each source nearly in its share. Slots are
-ranked per source, and the slot of rank r takes block r of that source, starting over when the stream is used up, three
-times at most.
+Each source's documents are put in a hashed order and their words form one stream. A schedule of slots is laid out by the
+golden-ratio sequence: slot k's point frac(k * phi) falls into the cumulative shares of one source, so every stretch of
+the schedule holds each source nearly in its share. A source's slots share out its target among them, equally to a word:
+together they take the first words of its stream, as many as its target, which starts over when it is used up, three
+times at most. However small a source is beside the others, it has some slots, of fewer words than those of others.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; sources without words have
 target 0; an empty table gives an empty result; repeated rows are documents of their own; other columns are not read.
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from ._store import Scratch
 
-#: Slots of the schedule: blocks get longer with the corpus, so the precision of a share is the same at every size.
+#: Slots of the schedule: they get longer with the corpus. A source with a target has so many at least.
 SLOTS = 1 << 18
+LEAST_SLOTS = 1024
 WEIGHTS = (5.0, 2.0, 1.0)
 EPOCHS = 3
 #: Partitions of a source's stream, so that a hot source is laid out by many tasks.
@@ -97,10 +98,12 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slots: int = SL
     names, sizes = [r["source"] for r in found], [r["n"] for r in found]
     targets, total = source_targets(sizes, weights), sum(sizes)
     block = max(1, -(-total // slots))
-    dealt = sum(targets)
+    deal = [max(LEAST_SLOTS, round(t / block)) if t else 0 for t in targets]
+    laid = scratch.save(schedule(spark, [d / max(1, sum(deal)) for d in deal], sum(deal)), "schedule")
+    has = {r["src"]: r["n"] for r in laid.groupBy("src").agg(F.count("*").alias("n")).collect()}  # one row per source
     want = spark.createDataFrame(
-        [(i, s, n, t, -(-n // block)) for i, (s, n, t) in enumerate(zip(names, sizes, targets, strict=True))],
-        "src int, source string, source_size long, target double, blocks long",
+        [(i, s, n, t, min(EPOCHS * n, int(t + 0.5)), has.get(i, 0)) for i, (s, n, t) in enumerate(zip(names, sizes, targets, strict=True))],
+        "src int, source string, source_size long, target double, words long, slots long",
     )
     where = F.broadcast(want)  # one row per source
     within = Window.partitionBy("source", "stripe").orderBy("h", "doc_id", "size", "row_key").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,28 +116,24 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slots: int = SL
         .select("doc_id", F.col("r.source"), "size", "start", "row_key")
         .alias("r")
         .join(where.alias("w"), F.col("r.source").eqNullSafe(F.col("w.source")))
-        .select("doc_id", F.col("r.source"), "size", "start", "row_key", "src", "source_size", "target")
+        .select("doc_id", F.col("r.source"), "size", "start", "row_key", "src", "source_size", "target", "words", "slots")
     )
-    n_slots = max(1, round(dealt / block)) if dealt else 0
-    taken_blocks = (
-        schedule(spark, [t / dealt for t in targets], n_slots)
-        .join(where.select("src", "blocks"), "src")
-        .where(F.col("rank") < EPOCHS * F.col("blocks"))
-        .groupBy("src", (F.col("rank") % F.col("blocks")).alias("block"))
-        .agg(F.count("*").alias("times"))
-        if n_slots
-        else spark.createDataFrame([], "src int, block long, times long")
+    # where a document is each time that its source's stream is run through, up to the target
+    runs = (
+        stream.where("size > 0")
+        .select("src", "start", "size", "source_size", "words", "slots", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))).alias("epoch"))
+        .withColumn("from", F.expr("start + epoch * source_size"))
+        .withColumn("to", F.least(F.col("from") + F.col("size"), F.col("words")))
+        .where(F.col("from") < F.col("to"))
     )
-    # the blocks that each document has words in; a document of no words has none
-    pieces = stream.where("size > 0").select(
-        "doc_id", "src", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block")
-    )
-    lo = F.greatest(F.col("start"), F.col("block") * block)
-    hi = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
+    # slot r of a source begins at word r * words div slots; no product here is above words * slots
+    pieces = runs.withColumn("rank", F.explode(F.sequence(F.expr("((from + 1) * slots - 1) div words"), F.expr("(to * slots - 1) div words"))))
+    lo = F.greatest(F.col("from"), F.expr("rank * words div slots"))
+    hi = F.least(F.col("to"), F.expr("(rank + 1) * words div slots"))
     took = (
-        pieces.join(taken_blocks, ["src", "block"])
+        pieces.join(laid.select("src", F.col("rank").cast("long").alias("rank")), ["src", "rank"])
         .groupBy("src", "start")
-        .agg(F.sum((hi - lo) * F.col("times")).cast("long").alias("taken"))
+        .agg(F.sum(hi - lo).cast("long").alias("taken"))
     )
     # a document with words is known by its place in its source's stream
     return stream.join(took.withColumnRenamed("src", "k_src").withColumnRenamed("start", "k_start"), (F.col("src") == F.col("k_src")) & (F.col("start") == F.col("k_start")) & (F.col("size") > 0), "left").select(
