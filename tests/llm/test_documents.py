@@ -132,6 +132,18 @@ def test_secrets(spark):
     assert covered[3] == "uuid [entropy_base64] end" and covered[4] == texts[4] and covered[5] is None
 
 
+def test_placeholders_hide_nothing_else(spark):
+    key = "9fK3mZ7qLx2VtB8nRw5YcD1hJ4sG6pQ0"
+    long = key * 3 + "xxxx" + key[::-1] * 3
+    texts = [f"https://api.host.com/{x}/{key} end" for x in ("example", "live", "XXXX/abcdefgh")] + [f"{key}_example-{key}", long]
+    plain = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "abcdefgh1234567890Zz9abcdefgh", "9fK3mZ7qLx2VtEXAMPLEB8nRw5YcD1hJ4s"]
+    df = spark.createDataFrame(list(enumerate(texts + plain)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redacted(df).collect()}
+    for i in range(len(texts)):
+        assert "entropy_base64" in got[i] and not any(key[j : j + 12] in got[i] or key[::-1][j : j + 12] in got[i] for j in range(20))
+    assert [got[len(texts) + i] for i in range(len(plain))] == plain
+
+
 @given(st.text("ab01", min_size=24, max_size=60))
 def test_entropy_by_increments(text):
     def entropy(s):

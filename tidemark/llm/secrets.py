@@ -3,6 +3,7 @@
 Three patterns give the base spans. Beyond them, candidate strings (runs of token characters) are searched with a
 window of fixed length per character class: the window's Shannon entropy is kept by incremental counts as it slides,
 windows at or above the class's threshold are merged into spans, and spans that fit the allow-list are suppressed.
+Windows that overlap a placeholder don't count; what stands beside it is searched all the same.
 
 Positions are code points of the whole text, ends exclusive. Edge cases: a null text is empty; a text of any length is
 scanned whole, with work in proportion to its length; texts are scanned one by one, so repeated rows get equal spans;
@@ -37,9 +38,11 @@ CLASSES = (
     ("entropy_hex", re.compile(rb"[0-9A-Fa-f]{24,}"), 3.0),
     ("entropy_base64", re.compile(rb"[A-Za-z0-9+/_-]{24,}"), 4.0),
 )
-#: Strings of these forms are no secrets: one kind of character only, placeholders, a repeated short unit, paths of
-#: lower-case words.
-ALLOW = re.compile(rb"[A-Za-z/_=+-]+|[0-9/_=+-]+|.*(?:EXAMPLE|example|XXXX|xxxx|1234567890|abcdefgh).*|(.{1,4})\1+.{0,3}|(?:[/_-]?[a-z]++|[/_-][0-9]++)+", re.DOTALL)
+#: Strings of these forms are no secrets: one kind of character only, a repeated short unit, paths of lower-case words.
+ALLOW = re.compile(rb"[A-Za-z/_=+-]+|[0-9/_=+-]+|(.{1,4})\1+.{0,3}|(?:[/_-]?[a-z]++|[/_-][0-9]++)+", re.DOTALL)
+#: What makes a word a placeholder, if it isn't longer than two windows. In longer ones it may stand by chance.
+PLACEHOLDER = re.compile(rb"EXAMPLE|example|XXXX|xxxx|1234567890|abcdefgh")
+WORD = re.compile(rb"[A-Za-z0-9]+")
 _HEX = np.zeros(256, dtype=bool)
 _HEX[list(b"0123456789abcdef")] = True
 _TOKEN = np.zeros(256, dtype=bool)
@@ -91,16 +94,32 @@ def _base(text: bytes, kinds: int) -> list[Span]:
     return out
 
 
+def unplaced(run: bytes) -> Iterator[tuple[int, bytes]]:
+    """(place, string) of what lies between the placeholders of a candidate string, where windows fit in."""
+    at = 0
+    if PLACEHOLDER.search(run):
+        for word in WORD.finditer(run):
+            short = len(word[0]) <= 2 * WINDOW
+            for m in PLACEHOLDER.finditer(run, word.start(), word.end()):
+                lo, hi = word.span() if short else m.span()
+                if lo - at >= WINDOW:
+                    yield at, run[at:lo]
+                at = hi
+    if len(run) - at >= WINDOW:
+        yield at, run[at:]
+
+
 def _entropy(text: bytes) -> list[Span]:
     out: list[Span] = []
     for kind, candidates, least in CLASSES:
         for m in candidates.finditer(text):
             if ALLOW.fullmatch(m[0]):
                 continue
-            for lo, hi in entropy_spans(m[0], least):
-                found = m[0][lo:hi]
-                if not ALLOW.fullmatch(found) and re.search(rb"[0-9]", found) and re.search(rb"[A-Za-z]", found):
-                    out.append((kind, m.start() + lo, m.start() + hi))
+            for at, part in unplaced(m[0]):
+                for lo, hi in entropy_spans(part, least):
+                    found = part[lo:hi]
+                    if not ALLOW.fullmatch(found) and re.search(rb"[0-9]", found) and re.search(rb"[A-Za-z]", found):
+                        out.append((kind, m.start() + at + lo, m.start() + at + hi))
     return out
 
 
