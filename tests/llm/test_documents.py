@@ -1,6 +1,7 @@
 """Operators on documents against plain versions of them, over odd rows, an empty table and columns with clashing names."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -10,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tests.llm.conftest import EXTRA
+from tests.llm.conftest import EXTRA, words
 from tidemark.llm import jaccard, mixing, packing, quality_model, quality_rules, secrets, sharding, substring
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -265,6 +266,21 @@ def test_mix_of_tiny_sources(spark, slots):
             assert r.taken == sum(words // n + (w < words % n) for w in range(r.start, r.start + r.size))
 
 
+def test_remix_is_the_mix(spark):
+    long = " \n".join(f"w{i}\t é{i}" for i in range(500)) + " "
+    rows = [(0, "a", words(random.Random(1), 1000)), (1, "b", words(random.Random(2), 500)), (2, "c", long), (3, "c", " \n"), (4, "b", None)]
+    df = spark.createDataFrame([(*r, len(r[2] or "")) for r in rows + rows[1:2]], "doc_id long, source string, text string, n_chars int")
+    target = dict(zip("abc", brute_targets([1000, 1000, 1000]), strict=True))
+    assert target["c"] < 500  # under half of the only document with words
+    got = mixing.remixed(df).collect()
+    whole = {r[0]: r[2] for r in rows}
+    for s in "abc":
+        own = [r for r in got if r.source == s]
+        assert sum(len(WORD.findall(r.text)) for r in own) == int(target[s] + 0.5)
+        assert sum(r.text != whole[r.doc_id] for r in own) <= 1
+        assert all(whole[r.doc_id].startswith(r.text) and r.n_chars == len(r.text) for r in own)
+
+
 def test_schedule_is_even(spark):
     got = mixing.schedule(spark, [0.5, 0.3, 0.2], 4096).collect()
     for src, share in enumerate((0.5, 0.3, 0.2)):

@@ -141,11 +141,21 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slots: int = SL
     )
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    return F.array_join(F.slice(F.split(text, f"(?<=[^{WS}])(?=[{WS}])"), F.lit(1), n), "")
+
+
 def remixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """The mix itself: rows of docs, each as often as the mix takes it, to the nearest whole number."""
-    took = mixed(docs, weights).where("size > 0").select(F.col("row_key").alias("_row"), F.expr("cast(floor(taken / size + 0.5) as int)").alias("_times"))
-    took = took.groupBy("_row").agg(F.sum("_times").cast("int").alias("_times")).where("_times > 0")
-    # equal rows are met once and their numbers added up
+    """The mix itself: rows of docs, each whole as often as the mix takes all of it. The one document of a source in which
+    its target ends comes once more, cut after the last word taken; n_chars, where there is one, is set anew for it."""
+    took = mixed(docs, weights).where("taken > 0").select(F.col("row_key").alias("_row"), F.expr("cast(taken div size as int)").alias("_times"), F.expr("cast(taken % size as int)").alias("_rest"))
+    # equal rows are met once and their numbers added up; at most one of them is cut
+    took = took.groupBy("_row").agg(F.sum("_times").cast("int").alias("_times"), F.max("_rest").alias("_rest"))
     keyed = docs.withColumns({"_key": row_hash(docs), "_text": F.xxhash64("text")}).dropDuplicates(["_key", "_text"])
-    out = keyed.join(took, F.col("_key") == F.col("_row")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    out = keyed.join(took, F.col("_key") == F.col("_row")).withColumn("_copy", F.explode(F.expr("sequence(1, _times + if(_rest > 0, 1, 0))")))
+    cut = F.col("_copy") > F.col("_times")
+    out = out.withColumn("text", F.when(cut, first_words(F.col("text"), F.col("_rest"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
