@@ -32,25 +32,42 @@ def brute_classes(rows, n, num, den, representatives=False):
             x = parent[x]
         return x
 
+    links = [0] * len(rows)
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
             if both and den * both >= num * (len(sets[i]) + len(sets[j]) - both):
                 parent[find(i)] = find(j)
+                links[i] += 1
+                links[j] += 1
     least = defaultdict(list)
     for i in range(len(rows)):
         least[find(i)].append(rows[i][0])
     if representatives:
         return sorted(min(least[x]) for x in least if sets[x])
-    return Counter((rows[i][0], len(sets[i]), min((x for x in least[find(i)] if x is not None), default=None) if sets[i] else rows[i][0]) for i in range(len(rows)))
+    return Counter((rows[i][0], len(sets[i]), min((x for x in least[find(i)] if x is not None), default=None) if sets[i] else rows[i][0], links[i]) for i in range(len(rows)))
 
 
-@pytest.mark.parametrize(("n", "num"), [(4, 85), (5, 80), (1, 60)])
-def test_jaccard_classes(docs, rows, n, num):
+# light sets up to: as the costs have it, none, some, all
+@pytest.mark.parametrize(("n", "num", "light"), [(4, 85, None), (5, 80, 90), (1, 60, None), (4, 85, 0), (4, 85, 10**6)])
+def test_jaccard_classes(docs, rows, n, num, light, monkeypatch):
+    if light is not None:
+        monkeypatch.setattr(jaccard, "boundary", lambda *_: light)
     got = jaccard.classes(docs, jaccard.Join(n, num, 100)).collect()
     assert Counter(tuple(r) for r in got) == brute_classes(rows, n, num, 100)
 
 
+@pytest.mark.parametrize(("limit", "hot"), [(2, False), (9, False), (2, True)])
+def test_jaccard_of_long_lists_and_large_groups(docs, rows, limit, hot, monkeypatch):
+    monkeypatch.setattr(jaccard, "LIST_ROWS", limit)
+    monkeypatch.setattr(jaccard, "GROUP_SETS", 5)
+    monkeypatch.setattr(jaccard, "HOT_MIN", 2 if hot else 10**9)
+    join = jaccard.Join(4, 85, 100)
+    assert Counter(tuple(r) for r in jaccard.classes(docs, join).collect()) == brute_classes(rows, 4, 85, 100)
+    got = sorted(r.doc_id for r in jaccard.representatives(docs, join).collect() if shingles(r.text, 4))
+    assert got == brute_classes([r for r in rows if r[0] is not None], 4, 85, 100, representatives=True)
+
+
 def test_jaccard_keeps_one_of_a_class(docs, rows):
     join = jaccard.Join(5, 80, 100)
     kept = jaccard.representatives(docs, join)
@@ -59,6 +76,15 @@ def test_jaccard_keeps_one_of_a_class(docs, rows):
     assert got == brute_classes([r for r in rows if r[0] is not None], 5, 80, 100, representatives=True)
 
 
+def test_jaccard_keeps_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    odd = ["_k", "_text", "_keep", "key", "id", "row", "of_text", "keep_id", "keep_key", "root", "n_links"]
+    docs = spark.createDataFrame([(i, text + " x" * (i // 2), {"a": i}, *[f"{c}{i}" for c in odd]) for i in range(4)], "doc_id long, text string, m map<string,int>, " + ", ".join(f"{c} string" for c in odd))
+    got = jaccard.representatives(docs)
+    assert got.columns == docs.columns
+    assert [tuple(r) for r in got.collect()] == [tuple(docs.where("doc_id = 0").head())]
+
+
 def test_jaccard_rejects_low_thresholds():
     with pytest.raises(ValueError):
         jaccard.Join(4, 50, 100)

@@ -6,7 +6,9 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
 
@@ -64,3 +66,19 @@ class Scratch:
         """Lets Spark delete the shuffle files of steps that are over: it does so when its driver collects garbage."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+
+
+def _hashes(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _hashes(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashes(f.dataType) for f in kind.fields)
+    return not isinstance(kind, T.MapType | T.VariantType)
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A row's hash, of the values of all columns that have a hash: maps have none, so rows that differ only in them share
+    it."""
+    cols = [F.col(f"`{f.name}`") for f in docs.schema.fields if _hashes(f.dataType)]
+    # a hash passes over nulls, so where they are is hashed too
+    return F.xxhash64(F.array(*(c.isNull() for c in cols)), *cols)

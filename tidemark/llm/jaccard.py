@@ -12,18 +12,23 @@ shared shingles of a linked pair are among the first d + k of either set.
 * The boundary between light and heavy is where the estimated cost is least: rows of subsets for light sets against
   rows of lists and pairs scanned in them for heavy ones, from counts over all sets by size.
 
-Only connected classes are wanted, so a list isn't expanded into all of its pairs. First each list ties its sets to a
-leader; candidates that survive the bounds on their sizes and sketches are verified on their whole sets. Then the lists
-are scanned again, now only for pairs whose sets are still in different classes. All such pairs that the bounds allow are
-verified, so no link between classes is lost.
+A row stays in its list only if some other row there may link with it by sizes and by places in the order. Lists with the
+same leader, their smallest set, make a group, to which each of its sets is sent once and whole. All pairs that a group's
+lists allow are verified in its task, so that nothing but links leaves it: a spanning forest of them, and each set's
+number of links. A pair that several lists hold is counted in the list of its first shared shingle only.
 
-A sketch has two to four bits for each shingle: the parity of the shingles whose hash falls on it. Each bit in which two
-sketches differ stands for a shingle that only one of the sets has, so their number bounds the overlap from above.
+A group of more sets or shingles than a task may hold is dealt out as pairs of blocks of its sets, each a task of its
+own; so is a list of more than LIST_ROWS sets, without a look at its rows before. No pair is left out, whatever the size.
+
+In a task, sketches save most of the work: a sketch has two to four bits for each shingle, the parity of the shingles
+whose hash falls on it. Each bit in which two sketches differ stands for a shingle that only one of the sets has, so their
+number bounds the overlap from above.
 
 Words are lower-cased in A-Z only. A document with fewer words than a shingle has its whole sequence as one. Edge cases:
 documents without words have an empty set and link with nothing, and a null text is one of them; a text of any length is
 read whole; rows that repeat, with the same or another doc_id, are rows of their own in one class; null doc_ids are
-never a class's smallest unless it has no other; an empty table gives an empty result; other columns are not read.
+never a class's smallest unless it has no other; doc_ids must be integers or cast to them; an empty table gives an empty
+result; other columns, of whatever names and types, change neither classes nor links.
 """
 
 from __future__ import annotations
@@ -37,11 +42,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._store import Scratch
+from ._store import Scratch, row_key
 from .components import components
 
 #: Shingles of so many documents of one stretch are counted at once.
-COUNT_TOKENS = 1 << 22
+COUNT_TOKENS = 1 << 20
 #: Frequent shingles that go last in the order, and frequent words: at most HOT_LIST of either, found HOT_MIN times or more.
 HOT_LIST, HOT_MIN = 1 << 18, 8
 #: Cost of a pair that is met in a list, in rows of a list or of a subset.
@@ -50,8 +55,13 @@ PAIR_COST = 2.0
 BITS = 26
 #: The longest sketch has 2**MOST_BITS bits.
 MOST_BITS = 16
-LIST_ROWS = 50_000
-PAIRS_AT_ONCE = 100_000
+#: A longer list makes a group of its own, whose rows aren't looked at before it is dealt out.
+LIST_ROWS = 4096
+#: Sets and shingles of a group that one task may hold; a larger group is dealt out as pairs of blocks.
+GROUP_SETS, GROUP_TOKENS = 4096, 1 << 21
+#: Rows, and bytes of sets, that a task works on at once, or one group.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 30_000, 8 << 20
+PAIRS_AT_ONCE = 1 << 18
 U64 = np.uint64
 
 
@@ -98,73 +108,90 @@ class Order:
     word_counts: np.ndarray
 
     def of_words(self, hashes: np.ndarray) -> np.ndarray:
-        """A class of frequency of each word, 0 for words that aren't frequent."""
-        if not len(self.words):
-            return np.zeros(len(hashes), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, self.word_counts[at], 0)
-
-    def first(self, tokens: np.ndarray, rarest: np.ndarray, most: int) -> np.ndarray:
-        """The first shingles of a set, given by hash, with the classes of their rarest words."""
-        if len(self.hot):
-            at = np.minimum(np.searchsorted(self.hot, tokens), len(self.hot) - 1)
-            count = np.where(self.hot[at] == tokens, self.counts[at], 0)
-        else:
-            count = np.zeros(len(tokens), dtype=np.int64)
-        return tokens[np.lexsort((tokens, rarest, count))[:most]]
+        """A class of frequency of each word, 0 for words that aren't frequent; below 64."""
+        return _found(self.words, self.word_counts, hashes)
+
+    def of_shingles(self, tokens: np.ndarray) -> np.ndarray:
+        return _found(self.hot, self.counts, tokens)
+
+
+def _found(keys: np.ndarray, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(at), dtype=np.int64)
+    i = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
+    return np.where(keys[i] == at, values[i], 0)
 
 
-def shingle_sets(texts: pa.Array, n: int, order: Order | None = None, words_too: list | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
-    """(row, sorted hashes of its distinct shingles, with an order the classes of their rarest words). The hashes of all
-    words are added to words_too."""
+@dataclass(frozen=True)
+class Sets:
+    """The shingle sets of a chunk of rows, one after the other: row i (of the batch: base + i) has the sorted distinct
+    hashes tokens[edge[i] : edge[i + 1]]."""
+
+    base: int
+    edge: np.ndarray
+    tokens: np.ndarray
+    rarest: np.ndarray | None  # of each token, with an order: the class of its rarest word
+    words: np.ndarray  # hashes of all words, in the order of the texts
+    whole: np.ndarray  # a hash of each row's words
+
+    def __len__(self) -> int:
+        return len(self.edge) - 1
+
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.edge)
+
+    def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each set, as two signed numbers."""
+        out = []
+        for x in (self.tokens ^ U64(0x5851F42D4C957F2D), self.tokens + U64(0x14057B7EF767814F)):
+            sums = np.zeros(len(x) + 1, dtype=U64)
+            np.cumsum(_text.mixed(x), out=sums[1:])
+            out.append((sums[self.edge[1:]] - sums[self.edge[:-1]]).view(np.int64))
+        return out[0], out[1]
+
+    def prefixes(self, order: Order, join: Join) -> tuple[np.ndarray, np.ndarray]:
+        """The first shingles of each set in the order, one after the other, and their edges."""
+        size = self.sizes()
+        row = np.repeat(np.arange(len(self)), size)
+        # by row, then by count, then by the rarest word; the sort is stable, and tokens of a row are sorted by hash
+        rank = np.minimum(order.of_shingles(self.tokens), (1 << 36) - 1) << 6 | self.rarest
+        at = np.argsort(rank | row << 42 if len(self) < 1 << 21 else rank, kind="stable")
+        if len(self) >= 1 << 21:
+            at = at[np.argsort(row[at], kind="stable")]
+        keep = np.array([join.kept_prefix(a) for a in size.tolist()], dtype=np.int64)
+        edge = np.concatenate([[0], np.cumsum(keep)])
+        pick = np.repeat(self.edge[:-1], keep) + np.arange(edge[-1]) - np.repeat(edge[:-1], keep)
+        return self.tokens[at[pick]], edge
+
+
+def shingle_sets(texts: pa.Array, n: int, order: Order | None = None) -> Iterator[Sets]:
     for base, buf, offs in _text.chunks(texts):
         buf = _text.lowered(buf)
         starts, ends, at = _text.words(buf, offs)
         of_words = _text.word_hashes(buf, starts, ends)
-        if words_too is not None:
-            words_too.append(of_words)
-        grams = _text.Grams(of_words)
         count = np.diff(at)
         own = np.where(count >= n, count - n + 1, np.minimum(count, 1))
+        row = np.repeat(np.arange(len(own)), own)
         first = np.repeat(at[:-1], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
         size = np.repeat(np.minimum(count, n), own)
+        grams = _text.Grams(of_words)
         hashes = grams(first, size)
+        by = np.argsort(hashes)
+        if len(own) < 1 << 16:
+            by = by[np.argsort(row[by].astype(np.uint16), kind="stable")]  # by radix
+        else:
+            by = by[np.argsort(row[by], kind="stable")]
+        hashes, row = hashes[by], row[by]
+        new = np.ones(len(by), dtype=bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
         rarest = None
         if order is not None:
             classes = order.of_words(of_words)
-            rarest = classes[first] if len(first) else classes[:0]
+            first, size = first[by][new], size[by][new]
+            rarest = classes[first]
             for k in range(1, n):
                 rarest = np.minimum(rarest, classes[first + np.minimum(k, size - 1)])
-        edge = np.concatenate([[0], np.cumsum(own)])
-        for i in range(len(count)):
-            own_hashes = hashes[edge[i] : edge[i + 1]]
-            if rarest is None:
-                yield base + i, np.unique(own_hashes), None
-            else:
-                tokens, where = np.unique(own_hashes, return_index=True)
-                yield base + i, tokens, rarest[edge[i] : edge[i + 1]][where]
-
-
-def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set, as two signed numbers."""
-    a = np.add.reduce(_text.mixed(tokens ^ U64(0x5851F42D4C957F2D)), dtype=U64)
-    b = np.add.reduce(_text.mixed(tokens + U64(0x14057B7EF767814F)), dtype=U64)
-    return int(a.view(np.int64)), int(b.view(np.int64))
-
-
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parities of the set's shingles by the low bits of their hashes, as 64-bit words; their number is a power of two."""
-    bits = 1 << max(6, min(MOST_BITS, (len(tokens) - 1).bit_length() + 1))
-    odd = np.bincount((tokens & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U64)
-
-
-def folded(words: np.ndarray, to: int) -> np.ndarray:
-    """Sketches in rows, of that many words: what shorter sketches of the same sets would be."""
-    while words.shape[-1] > to:
-        half = words.shape[-1] // 2
-        words = words[..., :half] ^ words[..., half:]
-    return words
+        yield Sets(base, np.searchsorted(row[new], np.arange(len(own) + 1)), hashes[new], rarest, of_words, grams(at[:-1], count))
 
 
 def frequent(docs: DataFrame, join: Join) -> Order:
@@ -181,19 +208,23 @@ def frequent(docs: DataFrame, join: Join) -> Order:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(own.sum(), is_word)), pa.array(h[own].view(np.int64)), pa.array(n[own])], names=["is_word", "h", "n"])
 
         for b in batches:
-            for _, tokens, _ in shingle_sets(b.column("text"), join.n, words_too=words):
-                if not len(tokens) or (f := fingerprint(tokens)) in seen:
-                    continue
-                seen.add(f)
-                held.append(tokens)
-                total += len(tokens)
-            if total >= COUNT_TOKENS:
-                yield from counted()
-                held, words, total, seen = [], [], 0, set()
+            for s in shingle_sets(b.column("text"), join.n):
+                new = np.zeros(len(s), dtype=bool)  # equal texts of a stretch count once
+                for i, x in enumerate(s.whole.tolist()):
+                    if x not in seen:
+                        seen.add(x)
+                        new[i] = True
+                held.append(s.tokens[np.repeat(new, s.sizes())])
+                words.append(s.words)
+                total += len(s.tokens)
+                if total >= COUNT_TOKENS:
+                    yield from counted()
+                    held, words, total, seen = [], [], 0, set()
         yield from counted()
 
     found = docs.select("text").mapInArrow(run, "is_word boolean, h long, n long").groupBy("is_word", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_MIN)
-    found = Scratch(docs.sparkSession, "frequent").save(found, "found")
+    scratch = Scratch(docs.sparkSession, "frequent")
+    found = scratch.save(found, "found")
     out = []
     for is_word in (False, True):
         top = found.where(F.col("is_word") == is_word).orderBy(F.desc("n"), "h").limit(HOT_LIST).select("h", "n").toArrow()  # bounded
@@ -201,29 +232,26 @@ def frequent(docs: DataFrame, join: Join) -> Order:
         order = np.argsort(h)
         # words by classes of frequency: factors of two
         out += [h[order], np.floor(np.log2(n[order])).astype(np.int64) if is_word else n[order]]
+    scratch.drop("found")
     return Order(*out)
 
 
 def profiles(docs: DataFrame, join: Join, sent: object) -> DataFrame:
-    """doc_id, row_key, n, fp_a, fp_b, sketch and prefix of every document."""
+    """doc_id, row_key, n, fp_a, fp_b and prefix of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = sent.value
         for b in batches:
-            n, fp, sketches, prefixes = [], [], [], []
-            for _, tokens, rarest in shingle_sets(b.column("text"), join.n, order):
-                n.append(len(tokens))
-                fp.append(fingerprint(tokens))
-                sketches.append(sketch(tokens).tobytes())
-                prefixes.append(order.first(tokens, rarest, join.kept_prefix(len(tokens))))
-            edge = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            values = np.concatenate(prefixes) if prefixes else np.zeros(0, U64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("row_key"), pa.array(n, pa.int64()), pa.array([f[0] for f in fp], pa.int64()), pa.array([f[1] for f in fp], pa.int64()), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(edge), pa.array(values.view(np.int64)))],
-                names=["doc_id", "row_key", "n", "fp_a", "fp_b", "sketch", "prefix"],
-            )
+            for s in shingle_sets(b.column("text"), join.n, order):
+                fp_a, fp_b = s.fingerprints()
+                values, edge = s.prefixes(order, join)
+                rows = b.slice(s.base, len(s))
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id"), rows.column("row_key"), pa.array(s.sizes()), pa.array(fp_a), pa.array(fp_b), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(values.view(np.int64)))],
+                    names=["doc_id", "row_key", "n", "fp_a", "fp_b", "prefix"],
+                )
 
-    return docs.select("doc_id", "row_key", "text").mapInArrow(run, "doc_id long, row_key long, n long, fp_a long, fp_b long, sketch binary, prefix array<long>")
+    return docs.select("doc_id", "row_key", "text").mapInArrow(run, "doc_id long, row_key long, n long, fp_a long, fp_b long, prefix array<long>")
 
 
 def boundary(sets: DataFrame, join: Join) -> int:
@@ -245,17 +273,32 @@ def boundary(sets: DataFrame, join: Join) -> int:
     return best[1]
 
 
-def list_rows(sets: DataFrame, join: Join, light: int) -> DataFrame:
-    """key, n, place, sid: rows of the inverted lists (odd keys) and of the subsets of two (even keys). place is such
-    that a pair whose smallest shared shingles these are overlaps in n - place at most."""
+def subsets(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a light set's subsets of two among its first shingles, and their places: even numbers."""
+    x, y = np.triu_indices(len(first), 1)
+    p, q = np.minimum(first[x], first[y]), np.maximum(first[x], first[y])
+    return _text.mixed(_text.mixed(p) + q) & ~U64(1), y - 1
+
+
+def list_keys(tokens: np.ndarray) -> np.ndarray:
+    """Keys of the inverted lists of shingles: odd numbers."""
+    return _text.mixed(tokens) | U64(1)
+
+
+def list_rows(sets: DataFrame, join: Join, light: int, sent: object) -> DataFrame:
+    """key, n, place, sid, hot: rows of the inverted lists and of the subsets of two. place is such that a pair whose
+    smallest shared shingles these are overlaps in n - place at most. hot are rows of lists that are known to be long."""
     border = join.overlap(light + 1)
+    limit = LIST_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = sent.value
         for b in batches:
             sid, n = b.column("sid").to_numpy(), b.column("n").to_numpy()
             lists = b.column("prefix")
             edge, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(U64)
-            out: list[list[np.ndarray]] = [[], [], []]
+            is_hot = order.of_shingles(values) > limit
+            out: list[list[np.ndarray]] = [[], [], [], []]
             for i in range(b.num_rows):
                 a = int(n[i])
                 d = join.lacks(a)
@@ -263,158 +306,130 @@ def list_rows(sets: DataFrame, join: Join, light: int) -> DataFrame:
                     continue  # only an equal set could link
                 tokens = values[edge[i] : edge[i + 1]]
                 if a <= light:
-                    first = tokens[: d + 2]
-                    x, y = np.triu_indices(len(first), 1)
-                    p, q = np.minimum(first[x], first[y]), np.maximum(first[x], first[y])
-                    key = _text.mixed(_text.mixed(p) + q) & ~U64(1)
+                    key, place = subsets(tokens[: d + 2])
                     out[0].append(key)
-                    out[1].append(y - 1)
+                    out[1].append(place)
                     out[2].append(np.full(len(key), i))
+                    out[3].append(np.zeros(len(key), dtype=bool))
                 if a >= border:
-                    key = _text.mixed(tokens[: d + 1]) | U64(1)
-                    out[0].append(key)
-                    out[1].append(np.arange(len(key)))
-                    out[2].append(np.full(len(key), i))
-            key, place, own = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+                    out[0].append(list_keys(tokens[: d + 1]))
+                    out[1].append(np.arange(len(tokens[: d + 1])))
+                    out[2].append(np.full(len(tokens[: d + 1]), i))
+                    out[3].append(is_hot[edge[i] : edge[i] + d + 1])
+            key, place, own, far = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(n[own].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(sid[own])], names=["key", "n", "place", "sid"]
+                [pa.array(key.view(np.int64)), pa.array(n[own].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(sid[own]), pa.array(far.astype(bool))],
+                names=["key", "n", "place", "sid", "hot"],
             )
 
-    return sets.select("sid", "n", "prefix").mapInArrow(run, "key long, n int, place int, sid long")
-
-
-def whole_lists(batches: Iterator[pa.RecordBatch], key: str = "key") -> Iterator[pa.Table]:
-    """Rows come sorted by key; tables of them are cut between keys."""
-    held: list[pa.RecordBatch] = []
-    count = 0
-    for b in batches:
-        if b.num_rows:
-            held.append(b)
-            count += b.num_rows
-        if count >= LIST_ROWS:
-            rows = pa.Table.from_batches(held)
-            keys = rows.column(key).to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1]))
-            if cut:
-                yield rows.slice(0, cut)
-                held, count = rows.slice(cut).to_batches(), rows.num_rows - cut
-    if count:
-        yield pa.Table.from_batches(held)
-
-
-def led(rows: DataFrame, join: Join) -> DataFrame:
-    """Rows of lists with two sets or more, and lead: the leader of the row's stretch of sizes in its list, or for a
-    leader that of the stretch before. A stretch has sizes that may link with its smallest one."""
+    return sets.select("sid", "n", "prefix").mapInArrow(run, "key long, n int, place int, sid long, hot boolean")
+
+
+def allowed(join: Join, light: int, key: np.ndarray, n: np.ndarray, place: np.ndarray, new: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one list that may link by their sizes and places, the smaller set's row first. Rows are sorted by
+    list and n; new marks the first row of each list. Pairs of light sets are left to the subsets."""
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(key)))
+    end = np.repeat(at + size, size)
+    n = n.astype(np.int64)
+    largest = join.den * n // join.num
+    # needed(a, b) <= a - place holds for b up to this
+    most = (n - place) * (join.num + join.den) // join.num - n
+    single = (key & 1).astype(bool)
+    i, d = np.arange(len(key)), 1
+    while len(i):
+        i = i[i + d < end[i]]
+        i = i[n[i + d] <= largest[i]]
+        j = i + d
+        ok = (n[j] <= most[i]) & (n[i] <= most[j]) & ~(single[i] & (n[j] <= light))
+        yield i[ok], j[ok]
+        d += 1
+
+
+def grouped(rows: DataFrame, join: Join, light: int) -> DataFrame:
+    """grp, key, n, place, sid: rows of lists that have a partner there, by the list's leader, the smallest sid among
+    them. A list of more than LIST_ROWS rows passes as it is, in chunks, and is a group of its own."""
+    limit = LIST_ROWS
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
+        held: list[pa.RecordBatch] = []
+        count, long = 0, None  # the key of a list that is passing
+        for b in batches:
+            while b.num_rows:
+                if long is not None:
+                    own = int(np.searchsorted(b.column("key").to_numpy(), long, side="right"))
+                    if own:
+                        yield pa.Table.from_batches([b.slice(0, own)]), True
+                    long, b = (long if own == b.num_rows else None), b.slice(own)
+                    continue
+                held.append(b)
+                count += b.num_rows
+                b = b.slice(b.num_rows)
+                if count > 2 * limit:
+                    t = pa.Table.from_batches(held)
+                    key = t.column("key").to_numpy()
+                    cut = int(np.searchsorted(key, key[-1]))
+                    if cut:
+                        yield t.slice(0, cut), False
+                    rest = t.slice(cut)
+                    if rest.num_rows > limit:
+                        yield rest, True
+                        held, count, long = [], 0, key[-1]
+                    else:
+                        held, count = rest.to_batches(), rest.num_rows
+        if count:
+            yield pa.Table.from_batches(held), False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_lists(batches):
-            key = t.column("key").to_numpy()
+        names = ["grp", "key", "n", "place", "sid"]
+        for t, long in lists(batches):
+            key, n, place, sid = (t.column(c).to_numpy() for c in names[1:])
+            if long:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, key, n, place, sid)], names=names)
+                continue
             new = np.append(True, key[1:] != key[:-1])
-            at = np.flatnonzero(new)
-            size = np.diff(np.append(at, len(key)))
+            size = np.diff(np.append(np.flatnonzero(new), len(key)))
             keep = np.repeat(size > 1, size)
-            t = t.filter(pa.array(keep))
-            if not t.num_rows:
+            key, n, place, sid, new = key[keep], n[keep], place[keep], sid[keep], new[keep]
+            if not len(key):
                 continue
-            key, n, sid, place = (t.column(c).to_numpy() for c in ("key", "n", "sid", "place"))
-            new = np.append(True, key[1:] != key[:-1])
-            at = np.flatnonzero(new)
-            edge = np.append(at, len(key))
-            last = n[edge[1:] - 1]
-            for i in np.flatnonzero(last > n[at] * join.den // join.num):  # lists of more than one stretch
-                lo, hi = edge[i], edge[i + 1]
-                while lo < hi:
-                    new[lo] = True
-                    lo += int(np.searchsorted(n[lo:hi], join.largest(int(n[lo])), side="right"))
-            at = np.flatnonzero(new)
-            stretch = np.cumsum(new) - 1
-            chief = np.lexsort((sid, stretch))[at]  # the row of each stretch's smallest sid
-            # leaders of neighbouring stretches of a list meet too
-            before = np.append(-1, chief[:-1])
-            before[key[at] != np.append(key[at][:1], key[at][:-1])] = -1
-            by = chief[stretch]
-            by = np.where(by == np.arange(len(sid)), before[stretch], by)
-            # the two may link by this list only if their sizes and places allow it
-            a, b = n[by].astype(np.int64), n.astype(np.int64)
-            may = (by >= 0) & (np.minimum(a - place[by], b - place) >= join.needed(a, b))
-            lead = np.where(may, sid[by], -1)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, n, place, sid, lead)], names=["key", "n", "place", "sid", "lead"])
-
-    sorted_ = rows.repartition("key").sortWithinPartitions("key", "n", "sid")
-    return sorted_.mapInArrow(run, "key long, n int, place int, sid long, lead long")
-
-
-def across(rows: DataFrame, join: Join, light: int) -> DataFrame:
-    """a, b: pairs of sets of one list that are in different classes and may link by their sizes and places. Pairs of
-    light sets are left to the subsets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_lists(batches):
-            key, n, sid, place, root = (t.column(c).to_numpy() for c in ("key", "n", "sid", "place", "root"))
-            edge = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
-            blobs = t.column("sketch").to_pylist()
-            out: list[np.ndarray] = []
-            count = 0
-            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                if (root[lo:hi] == root[lo]).all():
-                    continue
-                single = bool(key[lo] & 1)
-                same: dict[int, tuple[int, np.ndarray]] = {}  # words -> first row, sketches; longer sets come later
-                words = np.array([len(x) // 8 for x in blobs[lo:hi]])
-                for w in np.unique(words):
-                    rows = np.flatnonzero(words == w)
-                    same[int(w)] = (lo + int(rows[0]), np.frombuffer(b"".join(blobs[lo + rows[0] : lo + rows[-1] + 1]), dtype=U64).reshape(-1, w))
-                for i in range(lo, hi - 1):
-                    end = i + 1 + int(np.searchsorted(n[i + 1 : hi], join.largest(int(n[i])), side="right"))
-                    j = np.arange(i + 1, end)
-                    need = join.needed(n[i].astype(np.int64), n[j].astype(np.int64))
-                    ok = (root[j] != root[i]) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= need)
-                    if single:
-                        ok &= n[j] > light
-                    j, need = j[ok], need[ok]
-                    if not len(j):
-                        continue
-                    own = int(words[i - lo])
-                    mine = same[own][1][i - same[own][0]]
-                    differ = np.empty(len(j), dtype=np.int64)
-                    for w in np.unique(words[j - lo]):
-                        at = words[j - lo] == w
-                        theirs = folded(same[int(w)][1][j[at] - same[int(w)][0]], own)
-                        differ[at] = np.bitwise_count(theirs ^ mine).sum(1)
-                    ok = n[i].astype(np.int64) + n[j] - differ >= 2 * need
-                    j = j[ok]
-                    if len(j):
-                        out.append(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])]))
-                        count += len(j)
-                    if count >= PAIRS_AT_ONCE:
-                        pairs = np.unique(np.concatenate(out, axis=1), axis=1)
-                        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-                        out, count = [], 0
-            if out:
-                pairs = np.unique(np.concatenate(out, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-    return rows.repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(run, "a long, b long").distinct()
-
-
-def bounded(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """The pairs a, b that may link by the sizes and sketches of both sets, with their fingerprints."""
-    side = lambda x: sets.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("fp_a").alias(f"fa_{x}"), F.col("fp_b").alias(f"fb_{x}"), F.col("sketch").alias(f"s_{x}"))
-    names = ["a", "b", "fa_a", "fb_a", "fa_b", "fb_b"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n_a, n_b = b.column("n_a").to_numpy(), b.column("n_b").to_numpy()
-            differ = np.empty(b.num_rows, dtype=np.int64)
-            for i, (x, y) in enumerate(zip(b.column("s_a"), b.column("s_b"), strict=True)):
-                x, y = (np.frombuffer(z.as_buffer(), dtype=U64) for z in (x, y))
-                to = min(len(x), len(y))
-                differ[i] = np.bitwise_count(folded(x, to) ^ folded(y, to)).sum()
-            keep = n_a + n_b - differ >= 2 * join.needed(n_a, n_b)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in names], names=names).filter(pa.array(keep))
-
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    return met.select(*names, "n_a", "n_b", "s_a", "s_b").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+            size = size[size > 1]
+            grp = key.copy()
+            far = np.repeat(size > limit, size)
+            keep = far.copy()
+            near = np.flatnonzero(~far)
+            for i, j in allowed(join, light, key[near], n[near], place[near], new[near]):
+                keep[near[i]] = keep[near[j]] = True
+            of = np.cumsum(new) - 1
+            some = np.flatnonzero(keep & ~far)
+            if len(some):
+                at = np.flatnonzero(np.append(True, of[some][1:] != of[some][:-1]))
+                lead = np.minimum.reduceat(sid[some], at)
+                grp[some] = np.repeat(lead, np.diff(np.append(at, len(some))))
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (grp, key, n, place, sid)], names=names)
+
+    schema = "grp long, key long, n int, place int, sid long"
+    near = rows.where("not hot").drop("hot").repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(run, schema)
+    return near.union(rows.where("hot").select(F.col("key").alias("grp"), "key", "n", "place", "sid"))
+
+
+def dealt(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of lists, and distinct grp, sid, with part and block: a group that is too large for a task is cut into blocks
+    of its sets, and each pair of blocks is a part. A set goes to all parts of its block."""
+    own = lists.select("grp", "sid", "n").distinct()
+    weight = own.groupBy("grp").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
+    blocks = F.ceil(F.greatest(2 * F.col("sets") / GROUP_SETS, 2 * F.col("tokens") / GROUP_TOKENS)).cast("int")
+    large = weight.where((F.col("sets") > GROUP_SETS) | (F.col("tokens") > GROUP_TOKENS)).select(F.col("grp").alias("g"), blocks.alias("blocks"))
+
+    def parts(df: DataFrame) -> DataFrame:
+        df = df.join(large, F.col("grp") == F.col("g"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        df = df.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+        df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        part = F.least("block", "other").cast("long") * F.col("blocks") + F.greatest("block", "other")
+        # in a part of two blocks only pairs of sets of either are compared
+        return df.withColumn("part", part).withColumn("block", F.when(F.expr("part % blocks = part div blocks"), -1).otherwise(F.col("block"))).drop("g", "blocks", "other")
+
+    return parts(lists), parts(own)
 
 
 def wanted(keys: DataFrame, bits: int = BITS) -> np.ndarray:
@@ -428,104 +443,269 @@ def wanted(keys: DataFrame, bits: int = BITS) -> np.ndarray:
 
 
 def whole_sets(docs: DataFrame, join: Join, bitmap: object, bits: int = BITS) -> DataFrame:
-    """fp_a, fp_b and tokens of the sets whose fp_a is in the bitmap, once from each task."""
+    """fp_a, fp_b and tokens of the documents whose row_key is in the bitmap. Other texts aren't looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = bitmap.value, set()
+        words = bitmap.value
         for b in batches:
-            fp, blobs = [], []
-            for _, tokens, _ in shingle_sets(b.column("text"), join.n):
-                if len(tokens) and (f := fingerprint(tokens)) not in seen:
-                    p = (f[0] & (1 << 64) - 1) >> (64 - bits)
-                    if int(words[p >> 6]) >> (p & 63) & 1:
-                        seen.add(f)
-                        fp.append(f)
-                        blobs.append(tokens.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in fp], pa.int64()), pa.array([f[1] for f in fp], pa.int64()), pa.array(blobs, pa.binary())], names=["fp_a", "fp_b", "tokens"])
-
-    return docs.select("text").mapInArrow(run, "fp_a long, fp_b long, tokens binary")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
-    """a, b, linked, from their whole sets. pairs has the columns that ``bounded`` gives."""
-    sc = docs.sparkSession.sparkContext
-    sides = []
-    for x in "ab":
-        whole = whole_sets(docs, join, sc.broadcast(wanted(pairs.select(f"fa_{x}"))))  # bitmaps of fixed size
-        sides.append(whole.select(F.col("fp_a").alias(f"fa_{x}"), F.col("fp_b").alias(f"fb_{x}"), F.col("tokens").alias(f"t_{x}")))
-    met = pairs.join(sides[1], ["fa_b", "fb_b"]).join(sides[0], ["fa_a", "fb_a"]).select("a", "b", "t_a", "t_b")
+            p = b.column("row_key").to_numpy().view(U64) >> U64(64 - bits)
+            own = np.flatnonzero((words[(p >> U64(6)).astype(np.int64)] >> (p & U64(63))) & U64(1))
+            if not len(own):
+                continue
+            for s in shingle_sets(b.column("text").take(pa.array(own)), join.n):
+                fp_a, fp_b = s.fingerprints()
+                edge = pa.array((8 * s.edge).astype(np.int32))
+                blobs = pa.Array.from_buffers(pa.binary(), len(s), [None, edge.buffers()[1], pa.py_buffer(s.tokens.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(fp_a), pa.array(fp_b), blobs], names=["fp_a", "fp_b", "tokens"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            linked = []
-            for x, y in zip(b.column("t_a"), b.column("t_b"), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), dtype=U64) for z in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(join.den * both >= join.num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+    return docs.select("row_key", "text").mapInArrow(run, "fp_a long, fp_b long, tokens binary")
+
+
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the set's shingles by the low bits of their hashes, as 64-bit words; their number is a power of two."""
+    bits = 1 << max(6, min(MOST_BITS, (len(tokens) - 1).bit_length() + 1))
+    odd = np.bincount((tokens & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U64)
 
-    return met.mapInArrow(run, "a long, b long, linked boolean").distinct()
 
+def folded(words: np.ndarray, to: int) -> np.ndarray:
+    """Sketches in rows, of that many words: what shorter sketches of the same sets would be."""
+    while words.shape[-1] > to:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
 
-def row_key(docs: DataFrame) -> Column:
-    """A row's hash; rows of the same columns' values share it."""
-    return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
 
+def overlaps(tokens: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets in pairs, for x in ascending order."""
+    out = np.empty(len(x), dtype=np.int64)
+    edge = np.append(np.flatnonzero(np.append(True, x[1:] != x[:-1])), len(x))
+    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+        own = tokens[x[lo]]
+        at = lo
+        while at < hi:  # some partners at once
+            to = min(hi, at + max(1, PAIRS_AT_ONCE // max(1, len(own))))
+            theirs = [tokens[k] for k in y[at:to]]
+            every = np.concatenate(theirs)
+            hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+            out[at:to] = np.add.reduceat(hit, np.concatenate([[0], np.cumsum([len(t) for t in theirs])[:-1]]), dtype=np.int64)
+            at = to
+    return out
 
-def classed(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id, row_key, n_shingles, component_id and root, a number of the class, null for empty sets."""
+
+def forest(a: np.ndarray, b: np.ndarray, count: int, parent: np.ndarray) -> np.ndarray:
+    """The places of those pairs that tie together what wasn't yet; parent, of that many nodes, is kept up."""
+    keep = []
+    up = parent.tolist()
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            keep.append(i)
+    parent[:] = up
+    return np.array(keep, dtype=np.int64)
+
+
+class Group:
+    """The sets of some groups, each group's own, with their lists, in one task."""
+
+    def __init__(self, sets: pa.Table, join: Join, light: int) -> None:
+        self.join, self.light = join, light
+        self.sid = sets.column("sid").to_numpy()
+        self.copies = sets.column("copies").to_numpy()
+        self.tokens = [np.frombuffer(x.as_buffer(), dtype=U64) for c in sets.column("tokens").chunks for x in c]
+        self.prefix = [x.values.to_numpy().view(U64) for c in sets.column("prefix").chunks for x in c]
+        self.n = np.array([len(t) for t in self.tokens], dtype=np.int64)
+        self.block = sets.column("block").to_numpy()
+        self._sketches: dict[int, np.ndarray] = {}
+
+    def may(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs may link by their sketches."""
+        need = 2 * self.join.needed(self.n[x], self.n[y])
+        differ = np.empty(len(x), dtype=np.int64)
+        width = np.frompyfunc(lambda a: 1 << max(0, min(MOST_BITS, (a - 1).bit_length() + 1) - 6), 1, 1)(np.minimum(self.n[x], self.n[y])).astype(np.int64)
+        for w in np.unique(width):
+            own = np.flatnonzero(width == w)
+            met, at = np.unique(np.concatenate([x[own], y[own]]), return_inverse=True)
+            rows = np.stack([folded(sketch(self.tokens[k]), int(w)) for k in met])
+            step = max(1, BYTES_AT_ONCE // (8 * int(w)))
+            for lo in range(0, len(own), step):
+                i, j = at[: len(own)][lo : lo + step], at[len(own) :][lo : lo + step]
+                differ[own[lo : lo + step]] = np.bitwise_count(rows[i] ^ rows[j]).sum(1, dtype=np.int64)
+        return self.n[x] + self.n[y] - differ >= need
+
+    def linked(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        both = overlaps(self.tokens, x, y)
+        return self.join.den * both >= self.join.num * (self.n[x] + self.n[y] - both)
+
+    def first_shared(self, x: int, y: int) -> int:
+        """The key of the list in which a linked pair is counted: of its first shared shingle, or first two if both are
+        light."""
+        a, b = self.prefix[x], self.prefix[y]
+        if self.n[x] <= self.light and self.n[y] <= self.light:
+            a, b = a[: self.join.lacks(len(self.tokens[x])) + 2], b[: self.join.lacks(len(self.tokens[y])) + 2]
+            two = a[np.isin(a, b)][:2]
+            return int(subsets(two)[0][0])
+        a, b = a[: self.join.lacks(len(self.tokens[x])) + 1], b[: self.join.lacks(len(self.tokens[y])) + 1]
+        return int(list_keys(a[np.isin(a, b)][:1])[0])
+
+
+def _pairs(group: Group, key: np.ndarray, n: np.ndarray, place: np.ndarray, at: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Distinct pairs x < y of sets that share a list, as x * number of sets + y, sorted."""
+    every, fresh, count = [np.zeros(0, np.int64)], [], 0
+    total = len(group.n)
+    for i, j in allowed(group.join, group.light, key, n, place, new):
+        x, y = at[i], at[j]
+        ok = (group.block[x] == -1) | (group.block[x] != group.block[y])
+        fresh.append(np.minimum(x, y)[ok] * total + np.maximum(x, y)[ok])
+        count += len(fresh[-1])
+        if count > 8 * PAIRS_AT_ONCE:
+            every, fresh, count = [np.unique(np.concatenate(every + fresh))], [], 0
+    return np.unique(np.concatenate(every + fresh))
+
+
+def _links(t: pa.Table, join: Join, light: int, count: bool) -> pa.RecordBatch:
+    """Of whole groups: a, b, the links of a spanning forest; with count also a, null, n: a set's number of links to
+    other sets' documents."""
+    grp, part = t.column("grp").to_numpy(), t.column("part").to_numpy()
+    number = np.cumsum(np.append(False, (grp[1:] != grp[:-1]) | (part[1:] != part[:-1])))
+    is_set = t.column("key").is_null().to_numpy()
+    of_set = np.flatnonzero(is_set)
+    sid = t.column("sid").to_numpy()
+    again = np.append(False, (number[of_set][1:] == number[of_set][:-1]) & (sid[of_set][1:] == sid[of_set][:-1]))
+    of_set = of_set[~again]  # a set that several equal rows gave
+    group = Group(t.take(pa.array(of_set)), join, light)
+    lists = t.filter(pa.array(~is_set))
+    key, n, place = (lists.column(c).to_numpy() for c in ("key", "n", "place"))
+    known, dense = np.unique(sid, return_inverse=True)
+    code = number * len(known) + dense
+    order = np.argsort(code[of_set])
+    at = order[np.searchsorted(code[of_set], code[~is_set], sorter=order)] if len(of_set) else np.zeros(0, np.int64)
+    if not np.array_equal(code[of_set][at], code[~is_set]):
+        raise RuntimeError("a set of a list is missing")
+    own = number[~is_set]
+    new = np.append(True, (own[1:] != own[:-1]) | (key[1:] != key[:-1]))[: len(key)]
+    pairs = _pairs(group, key, n, place, at, new)
+    total = len(group.n)
+    parent, degree = np.arange(total), np.zeros(total, dtype=np.int64)
+    a: list[np.ndarray] = []
+    b: list[np.ndarray] = []
+    heads = np.unique(np.stack([own, key]), axis=1) if count and len(key) else None
+    codes = set(zip(*heads.tolist(), strict=True)) if heads is not None else set()
+    for lo in range(0, len(pairs), PAIRS_AT_ONCE):
+        x, y = np.divmod(pairs[lo : lo + PAIRS_AT_ONCE], max(1, total))
+        ok = group.may(x, y)
+        x, y = x[ok], y[ok]
+        at, step = 0, len(x) if count else 512
+        while at < len(x):
+            i, j = x[at : at + step], y[at : at + step]
+            at += step
+            if not count:  # pairs of one class needn't be looked at
+                step = min(2 * step, PAIRS_AT_ONCE)
+                while not np.array_equal(up := parent[parent], parent):
+                    parent = up
+                ok = parent[i] != parent[j]
+                i, j = i[ok], j[ok]
+            if not len(i):
+                continue
+            ok = group.linked(i, j)
+            i, j = i[ok], j[ok]
+            keep = forest(i, j, total, parent)
+            a.append(group.sid[i[keep]])
+            b.append(group.sid[j[keep]])
+            if count:
+                home = number[of_set]
+                here = np.array([(home[p], np.uint64(group.first_shared(p, q)).view(np.int64)) in codes for p, q in zip(i.tolist(), j.tolist(), strict=True)], dtype=bool)
+                np.add.at(degree, i[here], group.copies[j[here]])
+                np.add.at(degree, j[here], group.copies[i[here]])
+    some = np.flatnonzero(degree)
+    a.append(group.sid[some])
+    links = sum(len(x) for x in b)
+    ends = pa.concat_arrays([pa.array(np.concatenate(b) if b else np.zeros(0, np.int64), pa.int64()), pa.nulls(len(some), pa.int64())])
+    times = np.concatenate([np.ones(links, dtype=np.int64), degree[some]])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), ends, pa.array(times)], names=["a", "b", "n"])
+
+
+def linked(rows: DataFrame, join: Join, light: int, count: bool) -> DataFrame:
+    """a, b, n as ``_links`` has them, of all groups. rows has a group's sets (key null) and the rows of its lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            size += b.num_rows * BYTES_AT_ONCE // ROWS_AT_ONCE + b.column("tokens").nbytes
+            if size >= BYTES_AT_ONCE:
+                t = pa.Table.from_batches(held)
+                grp, part = t.column("grp").to_numpy(), t.column("part").to_numpy()
+                last = np.flatnonzero((grp != grp[-1]) | (part != part[-1]))
+                if len(last):
+                    cut = int(last[-1]) + 1
+                    yield _links(t.slice(0, cut), join, light, count)
+                    rest = t.slice(cut)
+                    held = rest.to_batches()
+                    size = rest.num_rows * BYTES_AT_ONCE // ROWS_AT_ONCE + sum(x.column("tokens").nbytes for x in held)
+        if held:
+            yield _links(pa.Table.from_batches(held), join, light, count)
+
+    return rows.repartition("grp", "part").sortWithinPartitions("grp", "part", "key", "n", "sid").mapInArrow(run, "a long, b long, n long")
+
+
+def classed(docs: DataFrame, join: Join, count: bool = False) -> DataFrame:
+    """doc_id, row_key, n_shingles, component_id and root, a number of the class, null for empty sets; with count also
+    n_links, the number of documents that the document links with."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("row_key"), "text")
     scratch = Scratch(spark, "jaccard")
     sent = spark.sparkContext.broadcast(frequent(docs, join))  # at most HOT_LIST shingles and words
     rows = scratch.save(profiles(docs, join, sent), "profiles")
-    members = scratch.save(rows.drop("prefix", "sketch"), "members")
-    own = rows.where("n > 0").groupBy("fp_a", "fp_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
+    own = rows.where("n > 0").groupBy("fp_a", "fp_b").agg(
+        F.min("doc_id").alias("rep"), F.min("row_key").alias("rep_key"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
+    )
     sets = scratch.save(own.withColumn("sid", F.monotonically_increasing_id()), "sets")
-    del rows, own
-    scratch.drop("profiles")
-    scratch.release()
-
     light = boundary(sets, join)
-    lists = scratch.save(led(list_rows(sets, join, light), join), "lists")
-    scratch.release()
-    # first each list's leader with the others
-    pairs = lists.where("lead >= 0").select(F.least("lead", "sid").alias("a"), F.greatest("lead", "sid").alias("b")).distinct()
-    pairs = scratch.save(bounded(pairs, sets, join), "led-pairs")
-    tested = scratch.save(verified(pairs, docs, join), "led-links")
-    scratch.release()
-    links = tested.where("linked").select("a", "b")
-    roots = scratch.save(components(links, scratch, "led-classes"), "led-roots")
-    # then what is still in different classes of a list
-    rooted = lists.drop("lead").join(roots, F.col("sid") == F.col("node"), "left").select("key", "n", "place", "sid", F.coalesce("root", "sid").alias("root"))
-    split = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    rooted = rooted.join(split, "key", "left_semi").join(sets.select("sid", "sketch"), "sid")
-    pairs = across(rooted, join, light)
-    pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    pairs = scratch.save(bounded(pairs, sets, join), "across-pairs")
-    more = scratch.save(verified(pairs, docs, join).where("linked").select("a", "b"), "across-links")
-    scratch.drop("lists")
-    scratch.release()
-    roots = components(roots.where("node <> root").select("node", "root").union(more), scratch, "classes")
-    of_set = sets.select("sid", "fp_a", "fp_b", "rep").join(roots, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid"))
+    lists = scratch.save(grouped(list_rows(sets, join, light, sent), join, light), "lists")
+    of_lists, of_sets = dealt(lists)
+    there = scratch.save(of_sets.join(sets.drop("n", "rep"), "sid"), "wanted")
+    bitmap = spark.sparkContext.broadcast(wanted(there.select("rep_key")))  # of fixed size
+    whole = whole_sets(docs, join, bitmap)
+    none = lambda kind: F.lit(None).cast(kind)
+    of_sets = there.join(whole, ["fp_a", "fp_b"]).select("grp", "part", none("long").alias("key"), F.col("n").cast("int").alias("n"), none("int").alias("place"), "sid", "block", "copies", "prefix", "tokens")
+    of_lists = of_lists.select("grp", "part", "key", "n", "place", "sid", "block", none("long").alias("copies"), none("array<long>").alias("prefix"), none("binary").alias("tokens"))
+    found = scratch.save(linked(of_sets.union(of_lists), join, light, count), "links")
+    scratch.drop("lists", "wanted")
+    roots = components(found.where("b is not null").select("a", "b"), scratch, "classes")
+    degree = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("degree"))
+    of_set = sets.select("sid", "fp_a", "fp_b", "rep", "copies").join(roots, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid")).drop("node")
     least = of_set.groupBy("root").agg(F.min("rep").alias("component_id"))
-    found = of_set.join(least, "root").select("fp_a", "fp_b", "component_id", "root")
-    return members.join(found, ["fp_a", "fp_b"], "left").select(
-        "doc_id", "row_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root"
+    of_set = of_set.join(least, "root").join(degree, F.col("sid") == F.col("node"), "left")
+    of_set = of_set.select("fp_a", "fp_b", "component_id", "root", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = rows.select("doc_id", "row_key", "n", "fp_a", "fp_b").join(of_set, ["fp_a", "fp_b"], "left").select(
+        "doc_id", "row_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root", F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
+    return out if count else out.drop("n_links")
 
 
 def classes(docs: DataFrame, join: Join | None = None) -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest doc_id that the document reaches by links, itself included."""
-    return classed(docs, join or Join()).select("doc_id", "n_shingles", "component_id")
+    """doc_id, n_shingles, component_id, the smallest doc_id that the document reaches by links, itself included, and
+    n_links, the number of other documents that it links with. Documents of equal sets link."""
+    return classed(docs, join or Join(), count=True).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def representatives(docs: DataFrame, join: Join | None = None) -> DataFrame:
-    """One row of docs for each class, with all of its columns: that of the smallest doc_id. Rows without words stay."""
+    """One row of docs for each class, with all of its columns: that of the smallest doc_id. Of rows without words that
+    are equal in all columns but maps, one stays; other rows without words stay."""
     found = classed(docs, join or Join())
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
-    keep = found.where(F.col("root").isNotNull()).groupBy("root").agg(first.alias("f")).select(F.col("f.row_key").alias("_keep"))
-    keep = keep.union(found.where(F.col("root").isNull()).select("row_key")).distinct()
-    keyed = docs.withColumns({"_k": row_key(docs), "_text": F.xxhash64("text")})
-    kept = keyed.join(keep, F.col("_k") == F.col("_keep"), "left_semi")
-    return kept.dropDuplicates(["_k", "_text"]).drop("_k", "_text")
+    keep = found.where(F.col("root").isNotNull()).groupBy("root").agg(first.alias("f")).select("f.doc_id", "f.row_key")
+    keep = keep.union(found.where(F.col("root").isNull()).select("doc_id", "row_key").distinct())
+    keep = keep.select(F.col("doc_id").alias("keep_id"), F.col("row_key").alias("keep_key"))
+    # the row is one column beside the helpers, whatever its own columns are called
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("of_text"))
+    kept = rows.join(keep, (F.col("key") == F.col("keep_key")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
+    return kept.dropDuplicates(["key", "id", "of_text"]).select("row.*")
