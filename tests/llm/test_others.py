@@ -33,7 +33,15 @@ def test_urls(spark, monkeypatch):
     assert Counter(map(tuple, urls.judged(pages).collect())) == want
     monkeypatch.setattr(urls, "BROADCAST_BYTES", 0)
     assert Counter(map(tuple, urls.judged(pages).collect())) == want
+    # rules in a table, too many for a broadcast, and small enough for one
+    table = spark.createDataFrame(urls.RULES, "verdict string, host string, path string")
+    assert Counter(map(tuple, urls.judged(pages, table).collect())) == want
+    monkeypatch.undo()
+    assert Counter(map(tuple, urls.judged(pages, table).collect())) == want
     assert urls.judged(pages.limit(0)).collect() == []
+    # a host of very many labels takes no more probes than any other
+    long = spark.createDataFrame([(1, "http://" + "a." * 300_000 + "net/x")], "page_id long, url string")
+    assert urls.judged(long).head().rule == "net/"
 
 
 def test_no_rules_and_colliding_digests(spark):
@@ -61,6 +69,7 @@ def brute_topk(rows, k=10, stride=100):
 def test_topk(spark, monkeypatch, blocks):
     if blocks:
         monkeypatch.setattr(topk, "CANDIDATES", 40)
+        monkeypatch.setattr(topk, "SHELL", 5)
         monkeypatch.setattr(topk, "QUERIES", 2)
     rng = np.random.default_rng(7)
     rows = [(i, rng.normal(size=8).round(2).tolist()) for i in range(420)]
@@ -71,6 +80,33 @@ def test_topk(spark, monkeypatch, blocks):
     assert Counter(map(tuple, topk.nearest(df).collect())) == brute_topk(rows)
 
 
+def test_topk_of_equal_vectors(spark, monkeypatch):
+    """A third of all rows are one vector: no block holds them all."""
+    monkeypatch.setattr(topk, "CANDIDATES", 20)
+    monkeypatch.setattr(topk, "SHELL", 10)
+    rows = [(i, [1.0, 2.0] if i % 3 else [float(i % 7), -float(i % 11)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert Counter(map(tuple, topk.nearest(df).collect())) == brute_topk(rows)
+
+
+def test_topk_beyond_longs(spark):
+    ends = 2**63 - 1, -(2**63)
+    assert topk.whole(np.array([1e17, -1e17, 0.5, 9007199254740992.0])).tolist() == [*ends, 512, 9007199254740992 * 1024 if 9007199254740992 * 1024 < 2**63 else ends[0]]
+    rows = [(0, [1e17, 0.0]), (1, [1e17, 1.0]), (2, [-1e17, 0.0]), (3, [0.001, 0.0]), (4, [0.0, 1.0])]
+    got = topk.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, ends[0]), (0, 2, 3, ends[0]), (0, 3, 4, 0), (0, 4, 2, ends[1])]
+
+
+def test_topk_spares_work(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(12, 16)) * 3
+    rows = [(i, (centres[i % 12] + rng.normal(size=16) * 0.05).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.searched(df).collect()
+    assert max(r.evaluated for r in got) < 1500
+    assert Counter(tuple(r)[:4] for r in got) == brute_topk(rows)
+
+
 def test_topk_of_few(spark):
     schema = "vec_id long, embedding array<float>"
     assert topk.nearest(spark.createDataFrame([], schema)).collect() == []
