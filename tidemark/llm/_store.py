@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,9 @@ from ..session import ship
 
 #: Rows that go to a Python worker at once; bounds its memory when texts are long.
 BATCH_ROWS = 256
+#: A bitmap has 16 bits or more for each value, but at least 2**LEAST_BITS and at most 2**MOST_BITS bits; a value that
+#: shares a bit with another only costs work.
+LEAST_BITS, MOST_BITS = 20, 30
 _own: dict[str, str] = {}
 
 
@@ -82,3 +86,26 @@ def row_key(docs: DataFrame) -> Column:
     cols = [F.col(f"`{f.name}`") for f in docs.schema.fields if _hashes(f.dataType)]
     # a hash passes over nulls, so where they are is hashed too
     return F.xxhash64(F.array(*(c.isNull() for c in cols)), *cols)
+
+
+class Bitmap:
+    """Places of 64-bit values by their leading bits."""
+
+    def __init__(self, words: np.ndarray, bits: int) -> None:
+        self.words, self.bits = words, bits
+
+    @classmethod
+    def of(cls, values: DataFrame) -> Bitmap:
+        """Of values' one column. What comes to the driver is at most 2**bits / 64 words."""
+        h = values.columns[0]
+        bits = min(MOST_BITS, max(LEAST_BITS, (16 * values.count()).bit_length()))
+        place = F.shiftrightunsigned(h, 64 - bits)
+        rows = values.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned({h}, {64 - bits}), 64) as int))").alias("b"))
+        got = rows.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+        out[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
+        return cls(out, bits)
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        place = values >> np.uint64(64 - self.bits)
+        return (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
