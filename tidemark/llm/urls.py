@@ -33,7 +33,7 @@ RULES = (
     ("allow", "org", "/fr/"),
 )
 DEFAULT = "allow"
-#: An index beyond this many bytes isn't sent to the workers; it is joined by digest instead.
+#: An index beyond this many bytes isn't sent to all workers: each range of digests goes to one task instead.
 BROADCAST_BYTES = 256 << 20
 _HEAD = 4
 
@@ -67,6 +67,7 @@ class DigestArray:
             parts.append(raw[at : at + 8 * count].view(kind))
             at += 8 * int(count)
         self.keys, self.ends, self.host_len, self.lengths = parts
+        self.host_lengths, self.lengths = frozenset(self.host_len.tolist()), tuple(self.lengths.tolist())
         self.flags = raw[at : at + n]
         self.text = raw[at + int(n) : at + int(n) + int(size)]
 
@@ -91,17 +92,10 @@ class DigestArray:
         """The longest fitting rule of each URL and its verdict."""
         probes, owner, host_of = [], [], []
         for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-            if not host:
-                continue
-            h, p = host.encode(), path.encode()
-            starts = [0, *(k + 1 for k in range(len(h)) if h[k] == 46)]
-            for s in starts:
-                suffix = h[s:]
-                for n in self.lengths:
-                    if n <= len(p):
-                        probes.append(suffix + p[:n])
-                        owner.append(i)
-                        host_of.append(len(suffix))
+            for probe, n in probes_of(host.encode(), path.encode(), self.host_lengths, self.lengths):
+                probes.append(probe)
+                owner.append(i)
+                host_of.append(n)
         rules: list[str | None] = [None] * len(hosts)
         verdicts: list[str | None] = [None] * len(hosts)
         for k in np.flatnonzero((found := self.find(probes)) >= 0):
@@ -111,6 +105,21 @@ class DigestArray:
         return rules, verdicts
 
 
+def probes_of(host: bytes, path: bytes, host_lengths: frozenset[int], lengths: tuple[int, ...]) -> Iterator[tuple[bytes, int]]:
+    """What a URL may have among the rules: the host and its parent domains, of lengths that occur there, each with the
+    path's beginnings of lengths that occur; and the length of the host part. No more of a host is looked at than the
+    longest of the rules', so a host of any length takes few probes."""
+    if not host or not host_lengths:
+        return
+    tail = host[-max(host_lengths) - 1 :]
+    ends = [len(host)] if len(host) in host_lengths else []
+    ends += [n for k, c in enumerate(tail) if c == 46 and (n := len(tail) - k - 1) in host_lengths]
+    for n in ends:
+        for m in lengths:
+            if m <= len(path):
+                yield host[len(host) - n :] + path[:m], n
+
+
 def host_path(url: Column) -> tuple[Column, Column]:
     """Host, A-Z lower-cased, and path of a URL; both empty where it is null or has no ``://``."""
     at = F.coalesce(F.locate("://", url), F.lit(0))
@@ -120,15 +129,21 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def judged(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, default: str = DEFAULT) -> DataFrame:
-    """page_id, host, path, rule, verdict."""
+def judged(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] | DataFrame = RULES, default: str = DEFAULT) -> DataFrame:
+    """page_id, host, path, rule, verdict. rules are tuples, or a DataFrame of verdict, host and path."""
     host, path = host_path(F.col("url"))
     cut = pages.select("page_id", host.alias("host"), path.alias("path"))
+    spark = pages.sparkSession
+    Scratch(spark, "urls")
+    if isinstance(rules, DataFrame):
+        size = rules.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 40)).head()[0] or 0
+        if size > BROADCAST_BYTES:
+            return _ranged(cut, rules, size, default)
+        rules = tuple((r["verdict"], r["host"], r["path"]) for r in rules.select("verdict", "host", "path").collect())  # of a checked size
     packed = pack(rules)
     if len(packed) > BROADCAST_BYTES:
-        return _joined(cut, rules, default)
-    Scratch(pages.sparkSession, "urls")
-    sent = pages.sparkSession.sparkContext.broadcast(packed)
+        return _ranged(cut, spark.createDataFrame(rules, "verdict string, host string, path string"), len(packed), default)
+    sent = spark.sparkContext.broadcast(packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = DigestArray(sent.value)
@@ -143,25 +158,68 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, de
     return cut.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string")
 
 
-def _joined(cut: DataFrame, rules: tuple[tuple[str, str, str], ...], default: str) -> DataFrame:
-    """The same by a join on digests, for rule lists too large to send to every worker."""
-    spark = cut.sparkSession
-    table = spark.createDataFrame([(h, p, v) for v, h, p in rules], "r_host string, r_path string, r_verdict string").withColumn("k", F.xxhash64("r_host", "r_path"))
-    lengths = F.array(*[F.lit(n) for n in sorted({len(r[2]) for r in rules})])
-    pairs = cut.select("host", "path").where("host <> ''").distinct()
-    probes = (
-        pairs.select("host", "path", F.explode(F.sequence(F.lit(1), F.size(F.split("host", r"\.")))).alias("i"))
-        .select("host", "path", F.array_join(F.slice(F.split("host", r"\."), F.col("i"), F.lit(1 << 20)), ".").alias("q_host"), F.explode(lengths).alias("n"))
-        .where(F.col("n") <= F.length("path"))
-        .withColumn("q_path", F.expr("substring(path, 1, n)"))
-        .withColumn("k", F.xxhash64("q_host", "q_path"))
-    )
+def _ranged(cut: DataFrame, rules: DataFrame, size: int, default: str) -> DataFrame:
+    """The same for rules too many to send to every worker: they are cut into ranges of a hash, each a sorted digest
+    array of its own that one task maps, and to which the probes of its range come, each distinct one once."""
+    ranges = 4 * -(-size // max(1, BROADCAST_BYTES)) + 1
+    rules = rules.select("verdict", "host", "path")
+    longest = rules.agg(F.collect_set(F.octet_length("host")), F.collect_set(F.octet_length("path"))).head()  # lengths: few
+    hosts, lengths = frozenset(longest[0]), tuple(sorted(longest[1]))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True):
+                out += [(h, p, q.decode(errors="surrogateescape"), n) for q, n in probes_of(h.encode(), p.encode(), hosts, lengths) if _whole(q)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.int32()))], names=["host", "path", "probe", "n"])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, now, own, waiting = None, None, [], []
+        for b in batches:
+            for r, is_probe, text, n, verdict in zip(*(b.column(c).to_pylist() for c in ("range", "is_probe", "text", "n", "verdict")), strict=True):
+                if r != now:
+                    if waiting:
+                        yield hits(index, waiting)
+                    index, now, own, waiting = None, r, [], []
+                if not is_probe:
+                    own.append((verdict, text.encode()[:n].decode(), text.encode()[n:].decode()))
+                    continue
+                if index is None:
+                    index = DigestArray(pack(tuple(own)))
+                waiting.append((text, n))
+                if len(waiting) >= 4096:
+                    yield hits(index, waiting)
+                    waiting = []
+        if waiting:
+            yield hits(index, waiting)
+
+    rule_rows = rules.select(F.lit(False).alias("is_probe"), F.concat("host", "path").alias("text"), F.octet_length("host").alias("n"), "verdict")
+    probes = cut.select("host", "path").where("host <> ''").distinct().mapInArrow(asked, "host string, path string, probe string, n int")
+    probe_rows = probes.select(F.lit(True).alias("is_probe"), F.col("probe").alias("text"), "n", F.lit(None).cast("string").alias("verdict")).distinct()
+    rows = rule_rows.union(probe_rows).withColumn("range", (F.shiftrightunsigned(F.xxhash64("text"), 32) * ranges / 2**32).cast("int"))
+    rows = rows.repartition("range").sortWithinPartitions("range", "is_probe")
+    hit = rows.mapInArrow(found, "text string, n int, verdict string")
     best = (
-        probes.join(table, "k")
-        .where("q_host = r_host and q_path = r_path")
+        probes.join(hit.withColumnsRenamed({"text": "probe", "n": "rule_n"}), "probe")
+        .where("n = rule_n")
         .groupBy("host", "path")
-        .agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), "r_verdict"), F.length("r_host") + F.length("r_path")).alias("b"))
+        .agg(F.max_by(F.struct("probe", "verdict"), F.octet_length("probe")).alias("b"))
     )
     return cut.join(best, ["host", "path"], "left").select(
-        "page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.r_verdict", F.lit(default)).alias("verdict")
+        "page_id", "host", "path", F.col("b.probe").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict")
     )
+
+
+def _whole(probe: bytes) -> bool:
+    """Not cut within a character, as no rule's path is."""
+    try:
+        probe.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def hits(index: DigestArray, probes: list[tuple[str, int]]) -> pa.RecordBatch:
+    at = index.find([t.encode() for t, _ in probes])
+    own = [(t, n, "allow" if index.flags[j] else "block") for (t, n), j in zip(probes, at.tolist(), strict=True) if j >= 0 and index.host_len[j] == n]
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in own], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.string()))], names=["text", "n", "verdict"])
