@@ -62,8 +62,9 @@ class Rule:
     def over(self, text: str, words: str) -> str:
         return self.rejects.format(**{f: e.format(t=text, w=words) for f, e in FEATURES.items()})
 
-    def over_columns(self) -> str:
-        return self.rejects.format(**{f: f for f in FEATURES})
+    def over_columns(self, columns: tuple[str, ...], text: str, words: str) -> str:
+        """The same, with some features taken from finished columns."""
+        return self.rejects.format(**{f: f if f in columns else e.format(t=text, w=words) for f, e in FEATURES.items()})
 
 
 #: These two decide base_failed.
@@ -120,15 +121,17 @@ def kept(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return docs.where(rejected_by(estimated_order(docs, rules)).isNull())
 
 
+#: The features that ``judged`` returns.
+REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Counts and verdict of every document, for reports: here every feature is wanted for every row."""
+    """Counts and verdict of every document, for reports. The reported features are wanted for every row; others are
+    computed only for rows that the cascade brings to a rule that needs them."""
     order = estimated_order(docs, rules)
     t = body("text")
     full = docs.select("doc_id", "text", F.expr(WORDS.format(t=t)).alias("_words"))
-    full = full.select("doc_id", *(F.expr(e.format(t=t, w="_words")).alias(f) for f, e in FEATURES.items()))
-    base = F.expr(" OR ".join(f"({r.over_columns()})" for r in BASE_RULES))
-    cases = " ".join(f"WHEN {rule.over_columns()} THEN false" for rule in order)
-    return full.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), F.expr(f"CASE {cases} ELSE true END").alias("kept"),
-    )
+    full = full.select("doc_id", "text", "_words", *(F.expr(FEATURES[f].format(t=t, w="_words")).alias(f) for f in REPORTED))
+    base = F.expr(" OR ".join(f"({r.over_columns(REPORTED, t, '_words')})" for r in BASE_RULES))
+    cases = " ".join(f"WHEN {rule.over_columns(REPORTED, t, '_words')} THEN false" for rule in order)
+    return full.select("doc_id", *REPORTED, base.alias("base_failed"), F.expr(f"CASE {cases} ELSE true END").alias("kept"))
