@@ -7,7 +7,9 @@ together they take the first words of its stream, as many as its target, which s
 times at most. However small a source is beside the others, it has some slots, of fewer words than those of others.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; sources without words have
-target 0; an empty table gives an empty result; repeated rows are documents of their own; other columns are not read.
+target 0; an empty table gives an empty result; repeated rows are documents of their own; other columns, of whatever
+names and types, only serve to tell rows apart. Targets come from one row for each source on the driver: sources are the
+named parts of a corpus, about 100 bytes each.
 """
 
 from __future__ import annotations
@@ -16,16 +18,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._store import Scratch
+from ._store import Scratch, row_key
 
 #: Slots of the schedule: they get longer with the corpus. A source with a target has so many at least.
 SLOTS = 1 << 18
 LEAST_SLOTS = 1024
 WEIGHTS = (5.0, 2.0, 1.0)
 EPOCHS = 3
-#: Partitions of a source's stream, so that a hot source is laid out by many tasks.
-STRIPES = 512
+#: Parts of a source's stream, so that a hot source is laid out by many tasks: so many, or more, with so many rows.
+STRIPES, STRIPE_ROWS = 512, 1 << 18
 PHI = (5**0.5 - 1) / 2
 WS = "\\x20\\x09-\\x0D"
 
@@ -34,10 +37,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{WS}]+")), F.lit(0)).cast("long")
 
 
-def row_hash(docs: DataFrame) -> Column:
-    return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-
-
 def source_targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, cap: float = EPOCHS) -> list[float]:
     """Targets of sources in their order: shares of all words by weight, stopped at cap times a source's size, with the
     excess dealt by weight among the others until none is above."""
@@ -86,9 +85,11 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slots: int = SL
     scratch = Scratch(spark, "mixing")
     rows = docs.select(
         "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))).alias("h"),
-        row_hash(docs).alias("row_key"),
-    ).withColumn("stripe", F.pmod(F.col("h"), F.lit(STRIPES)).cast("int"))
+        row_key(docs).alias("row_key"),
+    )
     rows = scratch.save(rows, "rows")  # sizes and hashes without texts
+    stripes = max(STRIPES, -(-rows.count() // STRIPE_ROWS))
+    rows = rows.withColumn("stripe", F.pmod(F.col("h"), F.lit(stripes)).cast("int"))
     # one row per source and stripe; sources are the few named parts of a corpus
     parts = rows.groupBy("source", "stripe").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("stripe").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,17 +106,15 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slots: int = SL
         [(i, s, n, t, min(EPOCHS * n, int(t + 0.5)), has.get(i, 0)) for i, (s, n, t) in enumerate(zip(names, sizes, targets, strict=True))],
         "src int, source string, source_size long, target double, words long, slots long",
     )
-    where = F.broadcast(want)  # one row per source
     within = Window.partitionBy("source", "stripe").orderBy("h", "doc_id", "size", "row_key").rowsBetween(Window.unboundedPreceding, -1)
     stream = (
         rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
         .alias("r")
-        # one row per source and stripe
-        .join(F.broadcast(parts.select(F.col("source").alias("s2"), F.col("stripe").alias("t2"), "before")), F.col("source").eqNullSafe(F.col("s2")) & (F.col("stripe") == F.col("t2")))
+        .join(parts.select(F.col("source").alias("s2"), F.col("stripe").alias("t2"), "before"), F.col("source").eqNullSafe(F.col("s2")) & (F.col("stripe") == F.col("t2")))
         .withColumn("start", F.col("before") + F.col("inner"))
         .select("doc_id", F.col("r.source"), "size", "start", "row_key")
         .alias("r")
-        .join(where.alias("w"), F.col("r.source").eqNullSafe(F.col("w.source")))
+        .join(want.alias("w"), F.col("r.source").eqNullSafe(F.col("w.source")))
         .select("doc_id", F.col("r.source"), "size", "start", "row_key", "src", "source_size", "target", "words", "slots")
     )
     # where a document is each time that its source's stream is run through, up to the target
@@ -148,14 +147,20 @@ def first_words(text: Column, n: Column) -> Column:
 
 def remixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """The mix itself: rows of docs, each whole as often as the mix takes all of it. The one document of a source in which
-    its target ends comes once more, cut after the last word taken; n_chars, where there is one, is set anew for it."""
-    took = mixed(docs, weights).where("taken > 0").select(F.col("row_key").alias("_row"), F.expr("cast(taken div size as int)").alias("_times"), F.expr("cast(taken % size as int)").alias("_rest"))
+    its target ends comes once more, cut after the last word taken; n_chars, where there is one that is an integer, is
+    set anew for it. All other columns, of whatever names, are as they were."""
+    took = mixed(docs, weights).where("taken > 0").select(
+        F.col("row_key").alias("took_key"), F.col("doc_id").alias("took_id"), F.expr("cast(taken div size as int)").alias("times"), F.expr("cast(taken % size as int)").alias("rest")
+    )
     # equal rows are met once and their numbers added up; at most one of them is cut
-    took = took.groupBy("_row").agg(F.sum("_times").cast("int").alias("_times"), F.max("_rest").alias("_rest"))
-    keyed = docs.withColumns({"_key": row_hash(docs), "_text": F.xxhash64("text")}).dropDuplicates(["_key", "_text"])
-    out = keyed.join(took, F.col("_key") == F.col("_row")).withColumn("_copy", F.explode(F.expr("sequence(1, _times + if(_rest > 0, 1, 0))")))
-    cut = F.col("_copy") > F.col("_times")
-    out = out.withColumn("text", F.when(cut, first_words(F.col("text"), F.col("_rest"))).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    took = took.groupBy("took_key", "took_id").agg(F.sum("times").cast("int").alias("times"), F.max("rest").alias("rest"))
+    # the row is one column beside the helpers, whatever its own columns are called
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keyed = docs.select(row, row_key(docs).alias("key"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("of_text")).dropDuplicates(["key", "id", "of_text"])
+    out = keyed.join(took, (F.col("key") == F.col("took_key")) & F.col("id").eqNullSafe(F.col("took_id")))
+    out = out.withColumn("copy", F.explode(F.expr("sequence(1, times + if(rest > 0, 1, 0))")))
+    cut, text = F.col("copy") > F.col("times"), F.col("row.text")
+    new = {"text": first_words(text, F.col("rest"))}
+    if "n_chars" in docs.columns and isinstance(kind := docs.schema["n_chars"].dataType, T.IntegralType):
+        new["n_chars"] = F.length(new["text"]).cast(kind)
+    return out.select(*(F.when(cut, new[c]).otherwise(F.col("row")[c]).alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))
