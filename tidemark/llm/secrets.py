@@ -192,9 +192,9 @@ def covered(text: str, spans: list[Span]) -> str:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """All rows and columns of docs, with secrets in text covered and n_chars, where there is one, set anew."""
+    """All rows and columns of docs, with secrets in text covered and n_chars, where there is one that is an integer, set anew."""
     Scratch(docs.sparkSession, "secrets")
-    has_length = "n_chars" in docs.columns
+    has_length = "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, T.IntegralType)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
