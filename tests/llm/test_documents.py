@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import EXTRA, words
 from tidemark.llm import jaccard, mixing, packing, quality_model, quality_rules, secrets, sharding, substring
@@ -119,15 +120,39 @@ def brute_substring(rows, window=50):
     return Counter(out)
 
 
-@pytest.mark.parametrize("batches", [1, 3])
+@pytest.mark.parametrize("batches", [1, 3, 6])
 def test_substrings(docs, rows, batches):
     got = substring.deduplicated(docs, batches=batches).collect()
     assert Counter(tuple(r) for r in got) == brute_substring(rows)
 
 
-def test_substrings_of_hot_anchors(docs, rows, monkeypatch):
+@pytest.mark.parametrize("batches", [1, 3])
+def test_substrings_of_hot_anchors(docs, rows, monkeypatch, batches):
     monkeypatch.setattr(substring, "GROUP_ROWS", 2)
-    assert Counter(tuple(r) for r in substring.deduplicated(docs).collect()) == brute_substring(rows)
+    assert Counter(tuple(r) for r in substring.deduplicated(docs, batches=batches).collect()) == brute_substring(rows)
+
+
+def test_fingerprint_index_opens_again(spark, tmp_path):
+    rng = random.Random(8)
+    quoted = words(rng, 80)
+    rows = [(i, f"{words(rng, 30, 10**9)} {quoted} {words(rng, 40, 10**9)}" if i % 2 else words(rng, 90, 10**9)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.xxhash64("text"))
+    folder = f"{tmp_path}/index"
+    marks = Counter()
+    for lo in range(0, 60, 15):
+        index = substring.FingerprintIndex(spark, folder)  # as another session would
+        got = index.join(docs.where((F.col("doc_id") >= lo) & (F.col("doc_id") < lo + 15)), docs.where(F.col("doc_id") < lo))
+        for r in got.collect():
+            marks[r.doc] += r.mask.bit_count()
+    assert marks == {i: 31 for i in range(3, 60, 2)}
+    index = substring.FingerprintIndex(spark, folder)
+    assert index.version == 4 and index.last == 59 and [level for level, _ in index.runs] == [2]
+    # anchors all of whose windows an earlier document has aren't kept
+    assert index.read(index.runs[0][1]).count() < substring.anchor_rows(docs, 50, 16).count()
+    with pytest.raises(ValueError):
+        index.join(docs, docs)
+    with pytest.raises(ValueError):
+        substring.FingerprintIndex(spark, folder, window=40)
 
 
 SECRETS = [
@@ -224,6 +249,34 @@ def test_shards(docs, rows):
     assert {r.law for r in got} == {"bytes"} and {r.shard for r in got} <= set(range(8))
 
 
+def test_shards_are_even_in_bytes(spark, monkeypatch):
+    rng = random.Random(4)
+    same = [(7, "x" * 50)] * 3000 + [(None, "y" * 20)] * 500  # documents repeated very often
+    rows = same + [(i, "z" * rng.randrange(200)) for i in range(100, 4000)]
+    monkeypatch.setattr(sharding, "SUB_ROWS", 1 / 8)  # slots in several parts
+    got = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    load = [sum(r.size for r in got if r.shard == k) for k in range(8)]
+    assert max(load) - min(load) <= 2 * 201
+    for k in range(8):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
+def test_maps_go_on_from_the_last(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "x" * (i % 97)) for i in range(6000)], "doc_id long, text string")
+    folder = f"{tmp_path}/maps"
+    first = {r.doc_id: r.shard for r in sharding.sharded(docs, folder=folder).collect()}
+    more = docs.union(spark.createDataFrame([(6000 + i, "y" * 90) for i in range(600)], "doc_id long, text string"))
+    got = sharding.sharded(more, folder=folder).collect()
+    assert {r.map_version for r in got} == {3} and sharding.SlotMap.latest(spark, folder).version == 3
+    moved = set(sharding.SlotMap.latest(spark, folder).moved)
+    assert all(first[r.doc_id] == r.shard for r in got if r.doc_id < 6000 and r.vslot not in moved)
+    assert len(moved) < 600
+    with pytest.raises(ValueError):
+        sharding.sharded(docs, shards=9, folder=folder)
+    sharding.write_shards(docs, f"{tmp_path}/out", sharding.SlotMap.load(spark, folder, 2))
+    assert {r.doc_id: r.shard for r in spark.read.parquet(f"{tmp_path}/out").collect()} == first
+
+
 def test_slot_maps(spark, tmp_path):
     rng = np.random.default_rng(2)
     weights = [int(x) for x in rng.integers(1, 1000, 4096)]

@@ -23,7 +23,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     for i in range(1, ROUNDS):
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         small = large.join(least, F.col("u") == F.col("w"))
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("w", "m")).distinct()

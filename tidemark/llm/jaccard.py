@@ -14,7 +14,7 @@ shared shingles of a linked pair are among the first d + k of either set.
 
 A row stays in its list only if some other row there may link with it by sizes and by places in the order. Lists with the
 same leader, their smallest set, make a group, to which each of its sets is sent once and whole. All pairs that a group's
-lists allow are verified in its task, so that nothing but links leaves it: a spanning forest of them, and each set's
+lists allow are verified in its task, so that nothing but links leaves it: each set's tie to the smallest set that it reaches there, and its
 number of links. A pair that several lists hold is counted in the list of its first shared shingle only.
 
 A group of more sets or shingles than a task may hold is dealt out as pairs of blocks of its sets, each a task of its
@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._store import Scratch, row_key
+from ._store import Bitmap, Scratch, row_key
 from .components import components
 
 #: Shingles of so many documents of one stretch are counted at once.
@@ -51,8 +51,6 @@ COUNT_TOKENS = 1 << 20
 HOT_LIST, HOT_MIN = 1 << 18, 8
 #: Cost of a pair that is met in a list, in rows of a list or of a subset.
 PAIR_COST = 2.0
-#: Bits of the bitmap of sets that are wanted whole: of fixed size, and a false hit only costs work.
-BITS = 26
 #: The longest sketch has 2**MOST_BITS bits.
 MOST_BITS = 16
 #: A longer list makes a group of its own, whose rows aren't looked at before it is dealt out.
@@ -413,13 +411,17 @@ def grouped(rows: DataFrame, join: Join, light: int) -> DataFrame:
     return near.union(rows.where("hot").select(F.col("key").alias("grp"), "key", "n", "place", "sid"))
 
 
-def dealt(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+def dealt(lists: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Rows of lists, and distinct grp, sid, with part and block: a group that is too large for a task is cut into blocks
     of its sets, and each pair of blocks is a part. A set goes to all parts of its block."""
     own = lists.select("grp", "sid", "n").distinct()
     weight = own.groupBy("grp").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
     blocks = F.ceil(F.greatest(2 * F.col("sets") / GROUP_SETS, 2 * F.col("tokens") / GROUP_TOKENS)).cast("int")
     large = weight.where((F.col("sets") > GROUP_SETS) | (F.col("tokens") > GROUP_TOKENS)).select(F.col("grp").alias("g"), blocks.alias("blocks"))
+    large = scratch.save(large, "large")
+    if large.isEmpty():
+        whole = {"part": F.lit(0).cast("long"), "block": F.lit(-1)}
+        return lists.withColumns(whole), own.withColumns(whole)
 
     def parts(df: DataFrame) -> DataFrame:
         df = df.join(large, F.col("grp") == F.col("g"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -432,24 +434,12 @@ def dealt(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parts(lists), parts(own)
 
 
-def wanted(keys: DataFrame, bits: int = BITS) -> np.ndarray:
-    """A bitmap of the values of keys' one column, in at most 2**bits / 64 words."""
-    k = keys.columns[0]
-    rows = keys.select(F.expr(f"shiftrightunsigned({k}, {64 - bits})").alias("p"))
-    got = rows.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
-    out = np.zeros(1 << (bits - 6), dtype=U64)
-    out[got.column("w").to_numpy()] = got.column("b").to_numpy().view(U64)
-    return out
-
-
-def whole_sets(docs: DataFrame, join: Join, bitmap: object, bits: int = BITS) -> DataFrame:
+def whole_sets(docs: DataFrame, join: Join, bitmap: object) -> DataFrame:
     """fp_a, fp_b and tokens of the documents whose row_key is in the bitmap. Other texts aren't looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = bitmap.value
         for b in batches:
-            p = b.column("row_key").to_numpy().view(U64) >> U64(64 - bits)
-            own = np.flatnonzero((words[(p >> U64(6)).astype(np.int64)] >> (p & U64(63))) & U64(1))
+            own = np.flatnonzero(bitmap.value.has(b.column("row_key").to_numpy().view(U64)))
             if not len(own):
                 continue
             for s in shingle_sets(b.column("text").take(pa.array(own)), join.n):
@@ -493,20 +483,20 @@ def overlaps(tokens: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarr
     return out
 
 
-def forest(a: np.ndarray, b: np.ndarray, count: int, parent: np.ndarray) -> np.ndarray:
-    """The places of those pairs that tie together what wasn't yet; parent, of that many nodes, is kept up."""
-    keep = []
+def tied(a: np.ndarray, b: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """parent, with the ends of these pairs tied together: each node's root, the smallest node that it reaches."""
     up = parent.tolist()
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
         while up[x] != x:
             up[x] = x = up[up[x]]
         while up[y] != y:
             up[y] = y = up[up[y]]
         if x != y:
             up[max(x, y)] = min(x, y)
-            keep.append(i)
-    parent[:] = up
-    return np.array(keep, dtype=np.int64)
+    parent = np.array(up, dtype=np.int64)
+    while not np.array_equal(up := parent[parent], parent):
+        parent = up
+    return parent
 
 
 class Group:
@@ -568,8 +558,8 @@ def _pairs(group: Group, key: np.ndarray, n: np.ndarray, place: np.ndarray, at:
 
 
 def _links(t: pa.Table, join: Join, light: int, count: bool) -> pa.RecordBatch:
-    """Of whole groups: a, b, the links of a spanning forest; with count also a, null, n: a set's number of links to
-    other sets' documents."""
+    """Of whole groups: a, b, for each set that has a link the smallest of those that it reaches by links of its group,
+    if that isn't itself; with count also a, null, n: a set's number of links to other sets' documents."""
     grp, part = t.column("grp").to_numpy(), t.column("part").to_numpy()
     number = np.cumsum(np.append(False, (grp[1:] != grp[:-1]) | (part[1:] != part[:-1])))
     is_set = t.column("key").is_null().to_numpy()
@@ -591,8 +581,6 @@ def _links(t: pa.Table, join: Join, light: int, count: bool) -> pa.RecordBatch:
     pairs = _pairs(group, key, n, place, at, new)
     total = len(group.n)
     parent, degree = np.arange(total), np.zeros(total, dtype=np.int64)
-    a: list[np.ndarray] = []
-    b: list[np.ndarray] = []
     heads = np.unique(np.stack([own, key]), axis=1) if count and len(key) else None
     codes = set(zip(*heads.tolist(), strict=True)) if heads is not None else set()
     for lo in range(0, len(pairs), PAIRS_AT_ONCE):
@@ -605,28 +593,26 @@ def _links(t: pa.Table, join: Join, light: int, count: bool) -> pa.RecordBatch:
             at += step
             if not count:  # pairs of one class needn't be looked at
                 step = min(2 * step, PAIRS_AT_ONCE)
-                while not np.array_equal(up := parent[parent], parent):
-                    parent = up
                 ok = parent[i] != parent[j]
                 i, j = i[ok], j[ok]
             if not len(i):
                 continue
             ok = group.linked(i, j)
             i, j = i[ok], j[ok]
-            keep = forest(i, j, total, parent)
-            a.append(group.sid[i[keep]])
-            b.append(group.sid[j[keep]])
+            parent = tied(i, j, parent)
             if count:
                 home = number[of_set]
                 here = np.array([(home[p], np.uint64(group.first_shared(p, q)).view(np.int64)) in codes for p, q in zip(i.tolist(), j.tolist(), strict=True)], dtype=bool)
                 np.add.at(degree, i[here], group.copies[j[here]])
                 np.add.at(degree, j[here], group.copies[i[here]])
     some = np.flatnonzero(degree)
-    a.append(group.sid[some])
-    links = sum(len(x) for x in b)
-    ends = pa.concat_arrays([pa.array(np.concatenate(b) if b else np.zeros(0, np.int64), pa.int64()), pa.nulls(len(some), pa.int64())])
-    times = np.concatenate([np.ones(links, dtype=np.int64), degree[some]])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), ends, pa.array(times)], names=["a", "b", "n"])
+    # stars around the smallest sid, so that what is left to do across groups takes few steps
+    least = np.full(total, np.iinfo(np.int64).max)
+    np.minimum.at(least, parent, group.sid)
+    far = np.flatnonzero(least[parent] != group.sid)
+    ends = pa.concat_arrays([pa.array(least[parent][far], pa.int64()), pa.nulls(len(some), pa.int64())])
+    times = np.concatenate([np.ones(len(far), dtype=np.int64), degree[some]])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([group.sid[far], group.sid[some]]), pa.int64()), ends, pa.array(times)], names=["a", "b", "n"])
 
 
 def linked(rows: DataFrame, join: Join, light: int, count: bool) -> DataFrame:
@@ -670,9 +656,9 @@ def classed(docs: DataFrame, join: Join, count: bool = False) -> DataFrame:
     sets = scratch.save(own.withColumn("sid", F.monotonically_increasing_id()), "sets")
     light = boundary(sets, join)
     lists = scratch.save(grouped(list_rows(sets, join, light, sent), join, light), "lists")
-    of_lists, of_sets = dealt(lists)
+    of_lists, of_sets = dealt(lists, scratch)
     there = scratch.save(of_sets.join(sets.drop("n", "rep"), "sid"), "wanted")
-    bitmap = spark.sparkContext.broadcast(wanted(there.select("rep_key")))  # of fixed size
+    bitmap = spark.sparkContext.broadcast(Bitmap.of(there.select("rep_key").distinct()))  # of bounded size
     whole = whole_sets(docs, join, bitmap)
     none = lambda kind: F.lit(None).cast(kind)
     of_sets = there.join(whole, ["fp_a", "fp_b"]).select("grp", "part", none("long").alias("key"), F.col("n").cast("int").alias("n"), none("int").alias("place"), "sid", "block", "copies", "prefix", "tokens")
