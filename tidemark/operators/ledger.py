@@ -1,12 +1,18 @@
 """Idempotent debits: every account's transactions in order, with duplicates told apart.
 
 A transaction whose id was completed before is DUPLICATE; one that the balance covers is COMPLETED and its id remembered;
-any other is FAILED and may come again. Accounts are independent. Each is read in order as one stream, with a state of
-its balance and the ids remembered, so that no account has to fit into memory; amounts are whole cents.
+any other is FAILED and may come again. An id is remembered for a day after it was completed, the last moment included;
+later it is new again. Accounts are independent. Each is read in order as one stream, with a state of its balance and the
+ids of its last day, so that no account has to fit into memory; amounts are whole cents.
+
+Whether a transaction is covered depends on all that were before it, so an account is a fold, which no window function
+expresses. It is done in Python over sorted Arrow batches: ``F.aggregate`` over a collected array would hold a whole
+account in a row.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,17 +22,20 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 OPENING = 1_000_000
-#: Ids are remembered for a day, and no shorter.
+#: Fixed value: the message of a transaction that the balance doesn't cover.
+REFUSED = "Insufficient funds: needed {}, available {}"
+#: Fixed value: ids are remembered for a day.
 RETENTION_US = 24 * 3600 * 1_000_000
 
 
 class Account:
     """The state of one account."""
 
-    __slots__ = ("balance", "done", "version")
+    __slots__ = ("balance", "done", "order", "version")
 
     def __init__(self, balance: int = OPENING) -> None:
         self.balance, self.version, self.done = balance, 0, {}
+        self.order: deque[tuple[int, object]] = deque()  # ids by the time of their completion, oldest first
 
     def debit(self, cents: int) -> bool:
         if self.balance < cents:
@@ -41,18 +50,19 @@ class Account:
 
     def apply(self, txn: object, cents: int, at: int) -> tuple[str, int | None, str | None]:
         """Status, new balance in cents and error message. at is in microseconds."""
+        self.evict(at - RETENTION_US)
         if txn in self.done:
             return "DUPLICATE", None, None
         if not self.debit(cents):
-            return "FAILED", None, f"Insufficient funds: needed {money(cents)}, available {money(self.balance)}"
+            return "FAILED", None, REFUSED.format(money(cents), money(self.balance))
         self.done[txn] = at
-        if len(self.done) % 1024 == 0:
-            self.evict(at - RETENTION_US)
+        self.order.append((at, txn))
         return "COMPLETED", self.balance, None
 
     def evict(self, cutoff: int) -> None:
-        """Forgets ids processed before the cutoff, and none at it."""
-        self.done = {k: t for k, t in self.done.items() if t >= cutoff}
+        """Forgets ids completed before the cutoff, and none at it. Each id is looked at once."""
+        while self.order and self.order[0][0] < cutoff:
+            del self.done[self.order.popleft()[1]]
 
 
 def money(cents: int) -> str:

@@ -9,9 +9,11 @@ from ..functions.scalars import cents
 from .readers import table
 
 
-def star_orders(spark: SparkSession, d: str, parts: bool = True, regions: bool = True) -> DataFrame:
-    """Order lines of the star schema; dimensions that a query doesn't need aren't joined."""
+def star_orders(spark: SparkSession, d: str, parts: bool = True, regions: bool = True, above: float | None = None) -> DataFrame:
+    """Order lines of the star schema; dimensions that a query doesn't need aren't joined. Lines that can't be above an
+    amount of whole cents aren't read, if one is given: what rounds above it is above it before."""
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
+    lines = lines if above is None else lines.where(F.col("l_extendedprice") > above)
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     out = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     if regions:
@@ -96,3 +98,16 @@ def transactions(spark: SparkSession, d: str) -> DataFrame:
     )
     again = base.where("transaction_id % 50 = 0").withColumns({"ts": F.col("ts") + F.expr("interval 1 second"), "seq": F.lit(1)})
     return base.unionByName(again)
+
+
+def late_transactions(spark: SparkSession, d: str) -> DataFrame:
+    """Small debits; each comes again after 1 s, 23 h, exactly a day, a day and 1 s, or 40 h, by its id."""
+    o = table(spark, d, "orders")
+    hours = F.element_at(F.array(*[F.lit(x) for x in (0, 23, 24, 24, 40)]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    seconds = F.when((F.col("o_orderkey") % 5).isin(0, 3), 1).otherwise(0)
+    base = o.select(
+        F.col("o_orderkey").alias("transaction_id"), (F.col("o_custkey") % 100).alias("account_from"), (F.col("o_orderkey") % 97 + 1).cast("long").alias("cents"),
+        F.col("o_orderdate").alias("ts"), F.lit(0).alias("seq"), (F.col("o_orderdate") + F.make_dt_interval(hours=hours, secs=seconds.cast("decimal(18,6)"))).alias("later"),
+    )
+    again = base.withColumns({"ts": F.col("later"), "seq": F.lit(1)})
+    return base.unionByName(again).drop("later")

@@ -3,6 +3,7 @@ sequence, which is the canonical order of the batch forms."""
 
 from __future__ import annotations
 
+import heapq
 import sys
 from collections.abc import Iterator
 from typing import Any
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import ledger
-from ..operators.ledger import OPENING, RETENTION_US, money
+from ..operators.ledger import OPENING, REFUSED, RETENTION_US, money
 from ..session import ROCKSDB
 
 TWO_HOURS_MS = 2 * 3600 * 1000
@@ -23,16 +24,45 @@ def ms(t: Any) -> int:
     return round(t.timestamp() * 1000)
 
 
+def _sent() -> None:
+    """A processor also starts beside the driver, in a process that imports nothing of ours: it is sent by value."""
+    for module in (sys.modules[__name__], ledger):
+        cloudpickle.register_pickle_by_value(module)
+
+
 def stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, time: str, delay: str = "5 seconds") -> DataFrame:
     """df through a processor in append mode and event time."""
     spark = df.sparkSession
-    # a processor also starts beside the driver, in a process that imports nothing of ours: it is sent by value
-    for module in (sys.modules[__name__], ledger):
-        cloudpickle.register_pickle_by_value(module)
+    _sent()
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return df.withWatermark(time, delay).groupBy(key).transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventTime")
 
 
+def by_key(df: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
+    """df, the output of another stateful operator, through a processor without a time of its own."""
+    _sent()
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return df.groupBy(key).transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="none")
+
+
+class TopN(StatefulProcessor):
+    """The n rows of a key with the most of rank, equals by names, from the one batch that brings all of the key's rows."""
+
+    def __init__(self, n: int, rank: str, names: list[str], values: list[str]) -> None:
+        self.n, self.rank, self.names, self.values = n, rank, names, values
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        pass
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        best = heapq.nsmallest(self.n, rows, key=lambda r: (-r[self.rank], *((r[c] is not None, r[c]) for c in self.names)))
+        for i, r in enumerate(best):
+            yield Row(window_start=key[0], **{c: r[c] for c in (*self.names, *self.values)}, rank_num=i + 1)
+
+    def close(self) -> None:
+        pass
+
+
 class LongRides(StatefulProcessor):
     """An alert when a START has waited for its END for the limit, or when the END shows that it did.
 
@@ -40,6 +70,7 @@ class LongRides(StatefulProcessor):
     """
 
     SCHEMA = "ride_id long, message string"
+    #: Fixed value.
     MESSAGE = "Ride has been ongoing for more than 2 hours!"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -69,7 +100,11 @@ class LongRides(StatefulProcessor):
 
 
 class Ledger(StatefulProcessor):
-    """Idempotent debits of one account: its balance, and the ids that it completed, for a day and more."""
+    """Idempotent debits of one account: its balance, and the ids that it completed within a day.
+
+    Ids are also listed by the minute in which their day is over, so that a timer takes out that minute's ids and
+    doesn't look at any other. An id whose day is over counts as new even before its timer comes.
+    """
 
     SCHEMA = "transaction_id long, account_from long, seq int, status string, new_balance_from double, new_balance_to double, error_message string"
 
@@ -77,19 +112,29 @@ class Ledger(StatefulProcessor):
         self.handle = handle
         self.balance = handle.getValueState("balance", "cents long")
         self.done = handle.getMapState("done", "id long", "at long")
+        self.due = handle.getMapState("due", "minute long", "ids array<long>")
+
+    def _remember(self, txn: int, at: int) -> None:
+        self.done.updateValue((txn,), (at,))
+        minute = (at + RETENTION_US // 1000) // 60_000 + 1
+        ids = list(self.due.getValue((minute,))[0]) if self.due.containsKey((minute,)) else []
+        self.due.updateValue((minute,), ([*ids, txn],))
+        self.handle.registerTimer(minute * 60_000)
+
+    def _known(self, txn: int, at: int) -> bool:
+        return self.done.containsKey((txn,)) and self.done.getValue((txn,))[0] >= at - RETENTION_US // 1000
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         left = self.balance.get()[0] if self.balance.exists() else OPENING
         for r in sorted(rows, key=lambda r: (ms(r.ts), r.seq, r.transaction_id)):
             status, balance, error = "DUPLICATE", None, None
-            if not self.done.containsKey((r.transaction_id,)):
+            if not self._known(r.transaction_id, ms(r.ts)):
                 if r.cents <= left:
                     left -= r.cents
                     status, balance = "COMPLETED", left / 100
-                    self.done.updateValue((r.transaction_id,), (ms(r.ts),))
-                    self.handle.registerTimer(ms(r.ts) + RETENTION_US // 1000)
+                    self._remember(r.transaction_id, ms(r.ts))
                 else:
-                    status, error = "FAILED", f"Insufficient funds: needed {money(r.cents)}, available {money(left)}"
+                    status, error = "FAILED", REFUSED.format(money(r.cents), money(left))
             yield Row(
                 transaction_id=r.transaction_id, account_from=key[0], seq=r.seq, status=status, new_balance_from=balance,
                 new_balance_to=None if balance is None else 0.0, error_message=error,
@@ -97,11 +142,14 @@ class Ledger(StatefulProcessor):
         self.balance.update((left,))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        """Forgets ids of before the timer's day; the id at its very edge stays."""
-        cutoff = expiredTimerInfo.getExpiryTimeInMs() - RETENTION_US // 1000
-        for k, v in list(self.done.iterator()):
-            if v[0] < cutoff:
-                self.done.removeKey((k[0],))
+        """Forgets the ids whose day was over in the timer's minute; one that was completed again since stays."""
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        minute = end // 60_000
+        if self.due.containsKey((minute,)):
+            for txn in self.due.getValue((minute,))[0]:
+                if self.done.containsKey((txn,)) and self.done.getValue((txn,))[0] < end - RETENTION_US // 1000:
+                    self.done.removeKey((txn,))
+            self.due.removeKey((minute,))
         return iter(())
 
     def close(self) -> None:
@@ -148,6 +196,34 @@ class Enrich(StatefulProcessor):
         pass
 
 
+class Catalog(StatefulProcessor):
+    """Orders with the last known version of their product; without one they go on at once, with the catalog pending.
+
+    The reference table is kept by key beside the orders of that key, and not on every machine, so it may be of any size.
+    Input rows are of two kinds, orders (side 1) and products (side 0)."""
+
+    SCHEMA = "order_id long, product_id long, message string"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.product = handle.getValueState("product", "name string, category string, price double")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        for r in sorted(rows, key=lambda r: (ms(r.at), r.side)):
+            if r.side == 0:
+                self.product.update((r.name, r.category, r.price))
+                continue
+            # fixed values: the two messages
+            if self.product.exists():
+                name, category, price = self.product.get()
+                text = f"Order {r.order_id}: {r.quantity}x {name} ({category}) @ ${price:.2f} each = ${r.amount:.2f}"
+            else:
+                text = f"Order {r.order_id}: {r.quantity}x product {key[0]} (catalog pending) = ${r.amount:.2f}"
+            yield Row(order_id=r.order_id, product_id=key[0], message=text)
+
+    def close(self) -> None:
+        pass
+
+
 class Pair(StatefulProcessor):
     """One-to-one join: each side holds one row, a match uses both up, and a second row overwrites one that waits."""
 
