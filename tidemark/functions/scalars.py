@@ -43,8 +43,20 @@ def at_least_zero(x: Column) -> Column:
     return F.greatest(x, F.lit(0).cast("decimal(18,2)"))
 
 
+def ten_two(x: Column) -> Column:
+    """An amount as DECIMAL(10,2), half a cent away from zero; null beyond its range."""
+    return x.try_cast("decimal(10,2)")
+
+
+def mean_ten_two(total: Column, n: Column) -> Column:
+    """The mean of n amounts of that exact total as DECIMAL(10,2), rounded once: half a cent goes away from zero."""
+    cents, n = (total * 100).cast("long"), n.cast("long")
+    whole = F.call_function("div", 2 * F.abs(cents) + n, 2 * n)
+    return ten_two((F.signum(cents.cast("double")).cast("long") * whole).cast("decimal(20,0)") / F.lit(100).cast("decimal(3,0)"))
+
+
 def rate_of_day(hour: Column) -> Column:
-    """Factor on an order rate by the hour of day: 0.3 at night, with peaks of 1.3 at 9 and 19."""
+    """Factor on an order rate by the hour of day: 0.3 at night, with peaks of 1.3 at 9 and 19. Fixed values."""
 
     def half_wave(lo: int, hi: int) -> Column:
         return F.when(hour.between(lo, hi), F.sin(F.lit(math.pi) * (hour - lo) / 10)).otherwise(0.0)
@@ -52,9 +64,12 @@ def rate_of_day(hour: Column) -> Column:
     return F.lit(0.3) + F.greatest(half_wave(4, 14), half_wave(14, 24), F.lit(0.0))
 
 
-def burst_factor(second: Column, factor: float = 3.0, lasts: int = 30, every: int = 600) -> Column:
-    """Bursts on a fixed beat: factor for the first ``lasts`` seconds of every ``every``."""
-    return F.when(F.pmod(second, F.lit(every)) < lasts, factor).otherwise(1.0)
+def burst_factor(second: Column, factor: float = 3.0, lasts: int = 30, every: int = 600, jitter: Column | None = None) -> Column:
+    """Bursts on a beat: factor for ``lasts`` seconds, once in every ``every``. With jitter, a number in [0, 1) that is the
+    same for all seconds of a beat, a burst begins up to a fifth of the beat late; without, at its start."""
+    begin = F.lit(0.0) if jitter is None else jitter * (0.2 * every)
+    place = F.pmod(second, F.lit(every))
+    return F.when((place >= begin) & (place < begin + lasts), factor).otherwise(1.0)
 
 
 def weighted(u: Column, weights: dict[str, float]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import category, padded, round_cents, weighted
+from ..functions.scalars import burst_factor, category, padded, rate_of_day, round_cents, weighted
 
 EPOCH = "2024-01-01 00:00:00"
 #: The product catalogue, regions with weights, and status weights of generated orders.
@@ -29,14 +29,19 @@ STATUSES = {"PENDING": 0.40, "CONFIRMED": 0.30, "SHIPPED": 0.20, "DELIVERED": 0.
 TIERS = ("BRONZE", "SILVER", "GOLD", "PLATINUM")
 
 
+def _bits(key: Column, salt: int) -> Column:
+    """40 bits of a key's digest: a hash that every SQL engine has, so that records can be stated in SQL."""
+    return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{salt}"))), 1, 10), 16, 10).cast("long")
+
+
 def uniform(key: Column, salt: int) -> Column:
     """A number in [0, 1) from a key."""
-    return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return _bits(key, salt) / F.lit(float(1 << 40))
 
 
 def pick(key: Column, salt: int, n: int) -> Column:
     """A whole number in [0, n)."""
-    return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(n)).cast("int")
+    return (_bits(key, salt) % n).cast("int")
 
 
 def at(ms: Column) -> Column:
@@ -52,7 +57,7 @@ def rides(spark: SparkSession, n: int) -> DataFrame:
         ride.alias("ride_id"), (pick(ride, 1, 10_000) + 1).cast("long").alias("taxi_id"), (pick(ride, 2, 5_000) + 1).cast("long").alias("driver_id"),
         is_start.alias("is_start"), at(ride * 1000 - F.when(is_start, pick(i, 3, 60)).otherwise(0) * 1000).alias("event_time"),
         coordinate(4, -74.05, -73.7).alias("start_lon"), coordinate(5, 40.5, 41.0).alias("start_lat"), coordinate(6, -74.05, -73.7).alias("end_lon"),
-        coordinate(7, 40.5, 41.0).alias("end_lat"), (pick(i, 8, 4) + 1).cast("short").alias("passenger_cnt"),
+        coordinate(7, 40.5, 41.0).alias("end_lat"), (pick(ride, 8, 4) + 1).cast("short").alias("passenger_cnt"),
     )
 
 
@@ -89,11 +94,16 @@ def user_events(spark: SparkSession, n: int) -> DataFrame:
 
 
 def orders(spark: SparkSession, n: int) -> DataFrame:
+    return orders_of(spark.range(n))
+
+
+def orders_of(ids: DataFrame) -> DataFrame:
+    """An order for each index, of a batch or a stream."""
     i = F.col("id")
     product = pick(i, 31, len(PRODUCTS)) + 1
     of = lambda k: F.element_at(F.array(*[F.lit(p[k]) for p in PRODUCTS]), product)
     quantity = pick(i, 32, 5) + 1
-    return spark.range(n).select(
+    return ids.select(
         padded("ORD-", i, 8).alias("order_id"), padded("C", pick(i, 33, 100) + 1, 3).alias("customer_id"), of(0).alias("product_id"), of(1).alias("product_name"),
         category(of(0)).alias("category"), weighted(uniform(i, 34), REGIONS).alias("region"), quantity.alias("quantity"), of(2).alias("unit_price"),
         round_cents(quantity * of(2)).alias("total_amount"), at(i * 100 + pick(i, 35, 50)).alias("order_time"), weighted(uniform(i, 36), STATUSES).alias("status"),
@@ -168,3 +178,24 @@ def transactions(spark: SparkSession, n: int) -> DataFrame:
 def rate_stream(spark: SparkSession, rows_per_second: int) -> DataFrame:
     """An unbounded stream of indexes at a fixed rate, for the generators' expressions."""
     return spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load().withColumnRenamed("value", "id")
+
+
+def paced_stream(spark: SparkSession, rows_per_batch: int, ms_per_batch: int = 1000) -> DataFrame:
+    """An unbounded stream of so many indexes a batch, each batch so much later in its own time: a rate that doesn't
+    depend on how fast it runs."""
+    reader = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_batch).option("advanceMillisPerBatch", ms_per_batch)
+    return reader.load().withColumnRenamed("value", "id")
+
+
+def pacing(second: Column, base: float) -> Column:
+    """Orders a second at that second since the epoch: the base rate by the hour of day, and in bursts."""
+    hour = (second % 86_400) / F.lit(3600.0)
+    return F.lit(base) * rate_of_day(hour) * burst_factor(second, jitter=uniform(F.expr("id div 600"), 37))
+
+
+def paced_orders(spark: SparkSession, seconds: int, base: float = 10.0) -> DataFrame:
+    """Orders of that many seconds, as many in each as its rate has."""
+    second = F.col("id")
+    each = spark.range(seconds).withColumn("n", F.floor(pacing(second, base) + 0.5).cast("int")).where("n > 0")
+    each = each.select(second.alias("second"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
+    return each.select((F.col("second") * 1000 + F.col("k")).alias("id")).transform(orders_of)

@@ -23,6 +23,8 @@ class Config:
     orders_topic: str = "orders-raw"
     trigger: str = "60 seconds"
     watermark: str = "5 seconds"
+    #: Whether a stream stops when records are gone before it has read them, or goes on without them.
+    fail_on_loss: bool = True
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None) -> Config:
@@ -30,11 +32,11 @@ class Config:
         missing = [k for k in ("KAFKA_BROKERS", "CHECKPOINT_DIR") if not env.get(k)]
         if missing:
             raise KeyError(f"not set: {', '.join(missing)}")
-        return cls(env["KAFKA_BROKERS"], env["CHECKPOINT_DIR"], env.get("KAFKA_CONNECTION", ""), env.get("ORDERS_TOPIC", cls.orders_topic), env.get("TRIGGER", cls.trigger), env.get("WATERMARK", cls.watermark))
+        return cls(env["KAFKA_BROKERS"], env["CHECKPOINT_DIR"], env.get("KAFKA_CONNECTION", ""), env.get("ORDERS_TOPIC", cls.orders_topic), env.get("TRIGGER", cls.trigger), env.get("WATERMARK", cls.watermark), env.get("FAIL_ON_DATA_LOSS", "true").lower() != "false")
 
 
 def kafka_options(config: Config, topic: str) -> dict[str, str]:
-    out = {"kafka.bootstrap.servers": config.brokers, "subscribe": topic, "startingOffsets": "latest", "failOnDataLoss": "false"}
+    out = {"kafka.bootstrap.servers": config.brokers, "subscribe": topic, "startingOffsets": "latest", "failOnDataLoss": str(config.fail_on_loss).lower()}
     if config.connection:
         out |= {"kafka.security.protocol": "SASL_SSL", "kafka.sasl.mechanism": "PLAIN", "kafka.sasl.jaas.config": config.connection}
     return out
