@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import in_nyc
+from ..functions.scalars import cents
 
 
 def nyc_rides(rides: DataFrame) -> DataFrame:
@@ -43,4 +44,5 @@ def distinct_by(df: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def order_message(order_id: Column, name: Column, tier: Column, amount: Column) -> Column:
-    return F.format_string("Enriched: Order %s by %s (%s tier) - $%.2f", order_id.cast("string"), name, tier, amount.cast("double"))
+    """Fixed value: the format. The amount is printed from its exact decimal."""
+    return F.format_string("Enriched: Order %s by %s (%s tier) - $%s", order_id.cast("string"), name, tier, cents(amount).cast("string"))

@@ -15,10 +15,18 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if int(str(size)) <= most else df
 
 
+def asserted_unique(df: DataFrame, key: str) -> DataFrame:
+    """df, whose evaluation fails where a key comes twice. A join on the key needs no other shuffle."""
+    cols = [c for c in df.columns if c != key]
+    once = F.when(F.count("*") == 1, F.min(F.struct(*cols))).otherwise(F.raise_error(F.concat(F.lit(f"{key} comes twice: "), F.col(key).cast("string"))))
+    return df.groupBy(key).agg(once.alias("_row")).select(key, "_row.*").select(*df.columns)
+
+
 def ride_fares(rides: DataFrame, fares: DataFrame) -> DataFrame:
-    """START rides with their fares; ride_id is unique on either side."""
+    """START rides with their fares. ride_id must be unique on either side: a second row would multiply the pairs, so it
+    is an error."""
     f = fares.select("ride_id", "tip", "start_time")
-    return rides.where("is_start").join(f, "ride_id")
+    return asserted_unique(rides.where("is_start"), "ride_id").join(asserted_unique(f, "ride_id"), "ride_id")
 
 
 def window_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, size: str) -> DataFrame:
@@ -57,7 +65,7 @@ def as_of(orders: DataFrame, versions: DataFrame, key: str, time: str, since: st
     else with none. match says which: direct, delayed or unknown.
 
     Orders and versions are put in one order by key and time, and the last version before and the first after are
-    carried along, so the work is one sort and doesn't multiply rows.
+    carried along: one shuffle, a sort in either direction, and no row more than there are.
     """
     cols = [c for c in versions.columns if c != key]
     value = F.struct(*cols)

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Fixed value.
+TOO_LONG = "Ride has been ongoing for more than 2 hours!"
+
+
 def hourly_tips(fares: DataFrame) -> DataFrame:
     """window_end, driver_id, tips."""
     out = fares.groupBy("driver_id", F.window("start_time", "1 hour").alias("w")).agg(F.sum("tip").alias("tips"))
@@ -23,4 +27,4 @@ def long_rides(rides: DataFrame, limit: str = "2 hours") -> DataFrame:
     ends = rides.where("not is_start").select(F.col("ride_id").alias("_ride"), F.col("event_time").alias("_end"))
     late = F.col("_end") < F.col("event_time") + F.expr(f"interval {limit}")
     open_ = rides.where("is_start").join(ends, (F.col("ride_id") == F.col("_ride")) & late, "left_anti")
-    return open_.select("ride_id", F.lit("Ride has been ongoing for more than 2 hours!").alias("message"))
+    return open_.select("ride_id", F.lit(TOO_LONG).alias("message"))

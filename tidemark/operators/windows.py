@@ -25,14 +25,13 @@ def top_n(df: DataFrame, n: int, partition: str, *order: Column) -> DataFrame:
 
 def latest_window(df: DataFrame, column: str = "window_start") -> DataFrame:
     """Rows of the last window."""
-    last = df.agg(F.max(column).alias("_last"))  # one row
-    return df.join(F.broadcast(last), F.col(column) == F.col("_last")).drop("_last")
+    return last_windows(df, 1, column)
 
 
 def last_windows(df: DataFrame, n: int, column: str = "window_start") -> DataFrame:
-    """Rows of the last n windows."""
-    keep = df.select(F.col(column).alias("_w")).distinct().orderBy(F.desc("_w")).limit(n)  # n rows
-    return df.join(F.broadcast(keep), F.col(column) == F.col("_w")).drop("_w")
+    """Rows of the last n windows, in one pass: every task keeps the rows of its own last n windows, and only those meet."""
+    rank = F.dense_rank().over(Window.orderBy(F.desc(column)))
+    return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
 def pivoted(df: DataFrame, row: str, column: str, value: str, names: list[str], fill: float | None = None) -> DataFrame:
@@ -44,13 +43,17 @@ def pivoted(df: DataFrame, row: str, column: str, value: str, names: list[str],
 def late_split(df: DataFrame, arrival: str, time: str, bound: str, stripe: int = 1 << 16) -> DataFrame:
     """Adds is_late: whether a row's time is behind the latest time that arrived before it by more than bound.
 
-    The running maximum comes from maxima of stripes of the arrival order and a running maximum within each stripe, so
-    no task sees more than a stripe.
+    The running maximum comes from maxima of stripes of the arrival order, of stripes of stripes, and a running maximum
+    within each. One task sees a stripe, or a stripe of 65536 stripes, or one row for each of those: some hundreds for
+    10**12 rows.
     """
     striped = df.withColumn("_s", F.floor(F.col(arrival) / stripe))
-    highs = striped.groupBy("_s").agg(F.max(time).alias("_m"))
-    before = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # over one row a stripe
-    highs = highs.select(F.col("_s"), F.max("_m").over(before).alias("_before"))
+    highs = striped.groupBy("_s").agg(F.max(time).alias("_m")).withColumn("_ss", F.floor(F.col("_s") / (1 << 16)))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    tops = highs.groupBy("_ss").agg(F.max("_m").alias("_mm"))
+    tops = tops.select("_ss", F.max("_mm").over(earlier(Window.orderBy("_ss"))).alias("_above"))
+    highs = highs.withColumn("_here", F.max("_m").over(earlier(Window.partitionBy("_ss").orderBy("_s")))).join(tops, "_ss")
+    highs = highs.select("_s", F.greatest("_here", "_above").alias("_before"))
     inside = Window.partitionBy("_s").orderBy(arrival).rowsBetween(Window.unboundedPreceding, 0)
     high = F.greatest(F.max(time).over(inside), F.col("_before"))
     return striped.join(highs, "_s").withColumn("is_late", high - F.expr(f"interval {bound}") > F.col(time)).drop("_s", "_before")

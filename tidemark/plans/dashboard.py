@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import mean_ten_two, ten_two
 from ..operators.filters import newest, recent
 from ..operators.windows import bounds, top_n, windowed
 
@@ -33,6 +34,16 @@ def revenue_by_category(orders: DataFrame, size: str = "1 minute") -> DataFrame:
     return bounds(out, "category", "unique_customers", "orders", "revenue", "avg_order_value").drop("window_end")
 
 
+def revenue_in_decimals(orders: DataFrame, size: str = "1 minute") -> DataFrame:
+    """The same with revenue and average as DECIMAL(10,2); null beyond its range."""
+    sold = orders.where(F.col("status").isin("CONFIRMED", "DELIVERED"))
+    out = windowed(sold, "order_time", size, None, "category").agg(
+        F.count_distinct("customer_id").alias("unique_customers"), F.count("*").alias("orders"), F.sum("total_amount").alias("total")
+    )
+    out = out.withColumns({"revenue": ten_two(F.col("total")), "avg_order_value": mean_ten_two(F.col("total"), F.col("orders"))})
+    return bounds(out, "category", "unique_customers", "orders", "revenue", "avg_order_value").drop("window_end")
+
+
 def high_value_alerts(orders: DataFrame, above: float = 500.0) -> DataFrame:
     return orders.where(F.col("total_amount") > F.lit(above).cast("decimal(18,2)")).select(
         "order_id", "customer_id", "product_name", "region", F.col("total_amount").cast("double").alias("total_amount"), "order_time"
