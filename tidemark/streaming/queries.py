@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import cents
 from ..operators import cdc
+from ..sources import generators
 from ..sources.readers import stream, table
+from . import dashboard, sinks, windows
 from . import processors as p
-from . import sinks, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +33,16 @@ def _stream(spark: SparkSession, d: str, name: str, *times: str) -> DataFrame:
     return stream(spark, d, schema, pattern=f"{name}.parquet").withColumns({t: F.col(t).cast("timestamp") for t in times})
 
 
+def _flushed(df: DataFrame, time: str, folder: str, **values: str) -> DataFrame:
+    """df and one row of the far future that is empty but for its time and values, which let it pass filters before the
+    watermark. It pushes the watermark past all windows and timers, as the end of a bounded source does; its own window is
+    never closed."""
+    values[time] = "2200-01-01"
+    row = df.sparkSession.range(1).select(*(F.lit(values.get(c)).cast(t).alias(c) for c, t in df.dtypes))
+    row.write.parquet(f"{folder}/end")
+    return df.unionByName(df.sparkSession.readStream.schema(row.schema).parquet(f"{folder}/end"))
+
+
 def _local(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes))
 
@@ -46,20 +57,24 @@ def _bought(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_tumble(spark: SparkSession, d: str) -> DataFrame:
-    aggs = [F.count("*").alias("n"), F.sum(cents(F.col("value"))).cast("double").alias("total"), windows.distinct_count("user_id").alias("users")]
-    out = windows.tumbling(_stream(spark, d, "events", "ts"), "ts", "1 hour", ["event_type"], aggs)
-    return _local(sinks.drained(out.select(F.col("w.start").alias("window_start"), "event_type", "n", "total", "users"), _folder(spark)))
+    folder = _folder(spark)
+    events = _stream(spark, d, "events", "ts").select("ts", "event_type", "user_id", cents(F.col("value")).alias("value"))
+    out = windows.tumbling_distinct(_flushed(events, "ts", folder), "ts", "1 hour", ["event_type"], "user_id", "value")
+    return _local(sinks.drained(out.select(F.col("w.start").alias("window_start"), "event_type", "n", F.col("total").cast("double").alias("total"), F.col("distinct_n").alias("users")), folder))
 
 
 def stream_top3(spark: SparkSession, d: str) -> DataFrame:
     aggs = [F.sum("quantity").alias("total_sold"), F.sum("total_amount").cast("double").alias("total_revenue")]
-    totals = windows.tumbling(_bought(spark, d), "ts", "1 hour", ["product_name", "category"], aggs, slide="30 minutes")
-    return _local(sinks.drained(windows.top_n(totals, 3, "total_sold", ["product_name", "category"], ["total_sold", "total_revenue"]), _folder(spark)))
+    folder = _folder(spark)
+    totals = windows.tumbling(_flushed(_bought(spark, d), "ts", folder), "ts", "1 hour", ["product_name", "category"], aggs, slide="30 minutes")
+    return _local(sinks.drained(windows.top_n(totals, 3, "total_sold", ["product_name", "category"], ["total_sold", "total_revenue"]), folder))
 
 
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    out = windows.sessions(_stream(spark, d, "events", "ts"), "ts", "user_id", "6 hours", [F.count("*").alias("n")])
-    return _local(sinks.drained(out.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n"), _folder(spark)))
+    folder = _folder(spark)
+    events = _flushed(_stream(spark, d, "events", "ts").select("user_id", "ts"), "ts", folder)
+    out = windows.sessions(events, "ts", "user_id", "6 hours", [F.count("*").alias("n")])
+    return _local(sinks.drained(out.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n"), folder))
 
 
 def _rides(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +84,8 @@ def _rides(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_long_rides(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.drained(p.stateful(_rides(spark, d), "ride_id", p.LongRides(), p.LongRides.SCHEMA, "event_time"), _folder(spark))
+    folder = _folder(spark)
+    return sinks.drained(p.stateful(_flushed(_rides(spark, d), "event_time", folder), "ride_id", p.LongRides(), p.LongRides.SCHEMA, "event_time"), folder)
 
 
 def stream_ledger(spark: SparkSession, d: str) -> DataFrame:
@@ -82,13 +98,70 @@ def stream_ledger(spark: SparkSession, d: str) -> DataFrame:
     return sinks.drained(p.stateful(rows, "account_from", p.Ledger(), p.Ledger.SCHEMA, "ts"), _folder(spark))
 
 
+def stream_ledger_late(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of ``ledger_late_duplicates`` as a stream."""
+    base = _stream(spark, d, "orders", "o_orderdate")
+    k = F.col("o_orderkey") % 5
+    hours = F.element_at(F.array(*[F.lit(x) for x in (0, 23, 24, 24, 40)]), (k + 1).cast("int"))
+    seconds = F.when(k.isin(0, 3), 1).otherwise(0).cast("decimal(18,6)")
+    rows = base.select(
+        F.col("o_orderkey").alias("transaction_id"), (F.col("o_custkey") % 100).alias("account_from"), (F.col("o_orderkey") % 97 + 1).cast("long").alias("cents"), "o_orderdate",
+        (F.col("o_orderdate") + F.make_dt_interval(hours=hours, secs=seconds)).alias("later"), F.explode(F.array(F.lit(0), F.lit(1))).alias("seq"),
+    )
+    rows = rows.select("transaction_id", "account_from", "cents", F.when(F.col("seq") == 0, F.col("o_orderdate")).otherwise(F.col("later")).alias("ts"), "seq")
+    return sinks.drained(p.stateful(rows, "account_from", p.Ledger(), p.Ledger.SCHEMA, "ts"), _folder(spark))
+
+
+def stream_product_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases with the last version of their product; signups stand for versions."""
+    e = _stream(spark, d, "events", "ts").where("event_type in ('purchase', 'signup')")
+    side = F.when(F.col("event_type") == "signup", 0).otherwise(1)
+    rows = e.select(
+        (F.col("user_id") % 13).alias("product_id"), side.alias("side"), F.col("ts").alias("at"), F.col("event_id").alias("order_id"), (F.col("event_id") % 5 + 1).alias("quantity"),
+        F.col("value").alias("amount"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("name"), F.lit("General").alias("category"), (F.col("event_id") % 100 / F.lit(4.0)).alias("price"),
+    )
+    return sinks.drained(p.stateful(rows, "product_id", p.Catalog(), p.Catalog.SCHEMA, "at"), _folder(spark))
+
+
+def _dashboard(name: str) -> Query:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        """One of the job's four tables, after the job has drained the stream into all of them."""
+        folder = _folder(spark)
+        status = F.element_at(F.array(*[F.lit(x) for x in ("PENDING", "CONFIRMED", "SHIPPED", "DELIVERED")]), (F.col("order_id") % 4 + 1).cast("int"))
+        region = F.concat(F.lit("region-"), (F.col("customer_id") % 5).cast("string"))
+        orders = _bought(spark, d).withColumnRenamed("ts", "order_time").withColumns({"status": status, "region": region})
+        all_of = dashboard.analytics(_flushed(orders, "order_time", folder, status="CONFIRMED"), "1 hour", "30 minutes", above=150.0)
+        for q in dashboard.started(all_of, dashboard.files(f"{folder}/sinks", all_of), f"{folder}/checkpoint"):
+            q.awaitTermination()
+        out = f"{folder}/sinks/{name}"
+        rows = sinks.upserted(spark, out, list(all_of[name].key)) if all_of[name].key else spark.read.parquet(f"{out}/batch=*")
+        return _local(rows.select(*(F.col(c).cast("string").alias(c) if t.startswith("decimal") else F.col(c) for c, t in rows.dtypes)))
+
+    return query
+
+
+def stream_generated_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders that a paced stream of indexes makes, batch by batch; the first thousand."""
+    folder = _folder(spark)
+    query = (
+        generators.orders_of(generators.paced_stream(spark, 250).where("id < 1000").select("id"))
+        .writeStream.foreachBatch(sinks.appended(f"{folder}/out")).option("checkpointLocation", f"{folder}/checkpoint").trigger(processingTime="0 seconds").start()
+    )
+    while query.isActive and ((query.lastProgress or {}).get("batchId", 0) < 4):
+        query.awaitTermination(1)
+    query.stop()
+    return _local(spark.read.parquet(f"{folder}/out/batch=*"))
+
+
 def stream_enrich(spark: SparkSession, d: str) -> DataFrame:
     """Purchases wait for the first view of the same user, which stands for the user's record."""
     e = _stream(spark, d, "events", "ts").where("event_type in ('purchase', 'view')")
     side = F.when(F.col("event_type") == "view", 0).otherwise(1)
     name = F.concat(F.lit("user/"), F.col("event_id").cast("string"))
     rows = e.select(F.col("event_id").alias("order_id"), F.col("user_id").alias("customer_id"), side.alias("side"), F.col("ts").alias("at"), name.alias("name"), F.lit("GOLD").alias("tier"))
-    return sinks.drained(p.stateful(rows, "customer_id", p.Enrich(), p.Enrich.SCHEMA, "at"), _folder(spark))
+    folder = _folder(spark)
+    rows = _flushed(rows, "at", folder).withColumn("side", F.coalesce("side", F.lit(0)))
+    return sinks.drained(p.stateful(rows, "customer_id", p.Enrich(), p.Enrich.SCHEMA, "at"), folder)
 
 
 def stream_ride_fare(spark: SparkSession, d: str) -> DataFrame:
@@ -122,12 +195,13 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_cdc_routes(spark: SparkSession, d: str) -> DataFrame:
-    """Changes to one folder for each table, from one scan; the rows of orders."""
+    """Changes to one folder for each table, from one scan; the rows of all folders."""
     folder = _folder(spark)
     tables = F.array(*[F.lit(t) for t in cdc.TABLES])
     rows = _stream(spark, d, "events", "ts").select(F.col("event_id").alias("position"), F.element_at(tables, (F.col("user_id") % 4 + 1).cast("int")).alias("table_name"))
     sinks.each_batch(rows.withColumn("route", cdc.route()), sinks.routed(f"{folder}/out", "route", cdc.TABLES), f"{folder}/checkpoint", "append").awaitTermination()
-    return spark.read.parquet(f"{folder}/out/orders/batch=*").select("position", "table_name")
+    parts = [spark.read.parquet(f"{folder}/out/{name}/batch=*").select(F.lit(name).alias("output"), "position", "table_name") for name in cdc.TABLES]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
 def stream_last_record(spark: SparkSession, d: str) -> DataFrame:
@@ -142,6 +216,7 @@ QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         stream_tumble, stream_top3, stream_sessions, stream_long_rides, stream_ledger, stream_enrich, stream_ride_fare, stream_interval_join,
-        stream_dedup, stream_upsert, stream_cdc_routes, stream_last_record,
+        stream_dedup, stream_upsert, stream_cdc_routes, stream_last_record, stream_ledger_late, stream_product_messages, stream_generated_orders,
     )
 }
+QUERIES |= {f"stream_dashboard_{name}": _dashboard(name) for name in ("orders_by_region", "top_products", "revenue_by_category", "high_value_alerts")}

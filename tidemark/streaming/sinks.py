@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,24 +20,61 @@ def drained(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
 
 
-def each_batch(df: DataFrame, write: Write, checkpoint: str, mode: str = "update") -> StreamingQuery:
-    return df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def each_batch(df: DataFrame, write: Write, checkpoint: str, mode: str = "update", trigger: str | None = None) -> StreamingQuery:
+    """A stream into a sink: every so often, as "60 seconds", or all that is there now. What a batch has read and where it
+    stopped is in the checkpoint before the next one begins, so the interval is also that between checkpoints."""
+    writer = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
 
 
-def upsert(folder: str, key: list[str]) -> Write:
-    """Keeps the last row of each key. Every batch is a folder of its own, so writing it again replaces it."""
+def upsert(folder: str, key: list[str], order: str | None = None, compact_every: int = 16) -> Write:
+    """Keeps the last row of each key, by an order column where a key may come twice in a batch: without one that is an
+    error. Every batch is a folder of its own, so writing it again replaces it; every so many batches, all that is there
+    becomes one table, and only what came since is read beside it."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id).cast("long")).dropDuplicates(key).write.mode("overwrite").parquet(f"{folder}/batch={batch_id:09d}")
+        cols = [c for c in batch.columns if c not in key]
+        row = F.struct(*cols)
+        if order is None:
+            last = F.when(F.count("*") == 1, F.min(row)).otherwise(F.raise_error(F.lit("a key comes twice in a batch, which has no order")))
+        else:
+            last = F.max_by(row, F.struct(F.col(order), row))
+        rows = batch.groupBy(*key).agg(last.alias("_row")).select(*key, "_row.*", F.lit(batch_id).cast("long").alias("_batch")).select(*batch.columns, "_batch")
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={batch_id:09d}")
+        if batch_id and batch_id % compact_every == 0:
+            compact(batch.sparkSession, folder, key, batch_id)
 
     return write
 
 
+def _latest(spark: SparkSession, folder: str, upto: int | None = None) -> DataFrame:
+    """All batches after the last table, with that table."""
+    names = _names(spark, folder)
+    upto = upto if upto is not None else max((int(n[6:]) for n in names if n.startswith("batch=")), default=0)
+    base = max((int(n[6:]) for n in names if n.startswith("table=") and int(n[6:]) <= upto), default=-1)
+    parts = [f"{folder}/{n}" for n in names if (n.startswith("batch=") and base < int(n[6:]) <= upto) or n == f"table={base:09d}"]
+    return spark.read.parquet(*parts)
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(path)]
+
+
+def _last_of(rows: DataFrame, key: list[str]) -> DataFrame:
+    cols = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*cols), "_batch").alias("_row")).select(*key, "_row.*").select(*rows.columns)
+
+
+def compact(spark: SparkSession, folder: str, key: list[str], batch_id: int) -> None:
+    """One table of everything up to a batch. It is complete or not there, and a repetition writes the same."""
+    _last_of(_latest(spark, folder, batch_id).where(F.col("_batch") <= batch_id), key).write.mode("ignore").parquet(f"{folder}/table={batch_id:09d}")
+
+
 def upserted(spark: SparkSession, folder: str, key: list[str]) -> DataFrame:
     """The table that an upsert sink holds: of each key, the row of its last batch."""
-    rows = spark.read.parquet(f"{folder}/batch=*")
-    newest = Window.partitionBy(*key).orderBy(F.desc("_batch"))
-    return rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n", "_batch")
+    return _last_of(_latest(spark, folder), key).drop("_batch")
 
 
 def routed(folder: str, route: str, names: tuple[str, ...]) -> Write:
@@ -78,6 +115,40 @@ def hypertable(folder: str, time: str) -> Write:
     return write
 
 
+def printed(df: DataFrame, checkpoint: str, rows: int = 20, trigger: str | None = None, mode: str = "append") -> StreamingQuery:
+    """A stream onto the driver's console, some rows of each batch."""
+    writer = df.writeStream.outputMode(mode).format("console").option("numRows", rows).option("truncate", "false").option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
+
+
+def appended(folder: str) -> Write:
+    """Appends rows; a batch that comes again replaces its own."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id:09d}")
+
+    return write
+
+
+def topic(options: Mapping[str, str], name: str, key: list[str] | None = None) -> Write:
+    """Appends rows as JSON to a topic; with a key, readers that keep the last row of each key see an upsert. A batch
+    that comes again is written again, under the same keys."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        as_json(batch, key).write.format("kafka").options(**{k: v for k, v in options.items() if k.startswith("kafka.")}).option("topic", name).save()
+
+    return write
+
+
+def jdbc(url: str, name: str, properties: Mapping[str, str]) -> Write:
+    """Appends rows to a database table, with the batch's number, by which a batch that comes again is known there."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.jdbc(url, name, mode="append", properties=dict(properties))
+
+    return write
+
+
 def logged(label: str) -> Write:
     def write(batch: DataFrame, batch_id: int) -> None:
         log.info("%s: batch %d has %d rows", label, batch_id, batch.count())
@@ -85,7 +156,11 @@ def logged(label: str) -> Write:
     return write
 
 
-def as_json(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Rows as JSON text in a value column, with a key if one is named: what a topic takes."""
+def as_json(df: DataFrame, key: str | list[str] | None = None) -> DataFrame:
+    """Rows as JSON text in a value column, with a key if one is named: what a topic takes. A key of several columns is
+    JSON too."""
     value = F.to_json(F.struct(*df.columns)).alias("value")
-    return df.select(F.col(key).cast("string").alias("key"), value) if key else df.select(value)
+    if not key:
+        return df.select(value)
+    whole = F.col(key).cast("string") if isinstance(key, str) else F.to_json(F.struct(*key))
+    return df.select(whole.alias("key"), value)

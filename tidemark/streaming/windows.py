@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .processors import TopN, by_key
+
 
 def tumbling(df: DataFrame, time: str, size: str, keys: list[str], aggs: list, delay: str = "5 seconds", slide: str | None = None) -> DataFrame:
     w = F.window(time, size, slide) if slide else F.window(time, size)
@@ -24,15 +26,18 @@ def _sum(a: str, b: str) -> str:
     return f"{int(x) + int(y)} {unit}"
 
 
-def distinct_count(column: str) -> object:
-    """An exact count of distinct values, which streams don't have under that name."""
-    return F.size(F.collect_set(column)).cast("long")
+def tumbling_distinct(df: DataFrame, time: str, size: str, keys: list[str], distinct: str, amount: str, delay: str = "5 seconds") -> DataFrame:
+    """w, keys, n, total and distinct_n: rows, the sum of an amount and the exact number of distinct values, which streams
+    don't have as an aggregate. First a row for each window, keys and value, then those are counted, so no state holds
+    more than a value's sums."""
+    each = tumbling(df, time, size, [*keys, distinct], [F.count("*").alias("n"), F.sum(amount).alias("total")], delay)
+    return each.groupBy("w", *keys).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.count(distinct).alias("distinct_n"))
 
 
 def top_n(totals: DataFrame, n: int, rank: str, names: list[str], values: list[str]) -> DataFrame:
-    """The n rows of each window with the most of rank, equals by names: a second aggregation over the windows of the
-    first, since streams have no row numbers."""
-    order = F.struct((-F.col(rank)).alias("r"), *names, *values)
-    out = totals.groupBy("w").agg(F.slice(F.sort_array(F.collect_list(order)), 1, n).alias("best"))
-    out = out.select("w", F.posexplode("best").alias("pos", "b"))
-    return out.select(F.col("w.start").alias("window_start"), *(F.col(f"b.{c}").alias(c) for c in (*names, *values)), (F.col("pos") + 1).cast("long").alias("rank_num"))
+    """The n rows of each window with the most of rank, equals by names, since streams have no row numbers. All rows of a
+    window come in the batch that closes it; they are read one by one, and never more than n are held."""
+    kinds = dict(totals.select(*names, *values).dtypes)
+    schema = ", ".join(["window_start timestamp", *(f"{c} {kinds[c]}" for c in (*names, *values)), "rank_num long"])
+    rows = totals.select(F.col("w.start").alias("window_start"), *names, *values)
+    return by_key(rows, "window_start", TopN(n, rank, names, values), schema)
