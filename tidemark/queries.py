@@ -32,19 +32,22 @@ def revenue_by_category_tumble(spark: SparkSession, d: str) -> DataFrame:
 
 
 def high_value_alerts(spark: SparkSession, d: str) -> DataFrame:
-    return dashboard.high_value_alerts(on.star_orders(spark, d))
+    return dashboard.high_value_alerts(on.star_orders(spark, d, above=500.0))
 
 
 def serving_region_recent(spark: SparkSession, d: str) -> DataFrame:
-    return dashboard.serve_regions(orders_by_region_tumble(spark, d), F.expr(AS_OF), MINUTES)
+    orders = filters.recent(on.star_orders(spark, d, parts=False), "order_time", F.expr(AS_OF), MINUTES)  # a recent window has recent rows only
+    return dashboard.serve_regions(dashboard.orders_by_region(orders), F.expr(AS_OF), MINUTES)
 
 
 def serving_products_recent(spark: SparkSession, d: str) -> DataFrame:
-    return dashboard.serve_products(top3_products_hop(spark, d), F.expr(EVENTS_AS_OF), MINUTES)
+    orders = filters.recent(on.event_orders(spark, d), "order_time", F.expr(EVENTS_AS_OF), MINUTES)
+    return dashboard.serve_products(dashboard.top_products(orders, "1 hour", "30 minutes"), F.expr(EVENTS_AS_OF), MINUTES)
 
 
 def serving_category_recent(spark: SparkSession, d: str) -> DataFrame:
-    return dashboard.serve_categories(revenue_by_category_tumble(spark, d), F.expr(AS_OF), MINUTES)
+    orders = filters.recent(on.star_orders(spark, d, regions=False), "order_time", F.expr(AS_OF), MINUTES)
+    return dashboard.serve_categories(dashboard.revenue_by_category(orders), F.expr(AS_OF), MINUTES)
 
 
 def serving_alerts_recent(spark: SparkSession, d: str) -> DataFrame:
@@ -168,9 +171,10 @@ def asof_enrich(spark: SparkSession, d: str) -> DataFrame:
 
 
 def enriched_messages(spark: SparkSession, d: str) -> DataFrame:
-    """Messages with amounts as whole cents, so that both engines print them alike."""
     c = F.col
-    return asof_enrich(spark, d).select("order_id", F.format_string("Enriched: Order %d by %s (%s tier)", c("order_id"), c("name"), c("tier")).alias("message"))
+    out = joins.as_of(_purchases(spark, d), on.customer_versions(spark, d), "customer_id", "order_time", "update_time", "48 hours")
+    known = lambda x: F.coalesce(x, F.lit("Unknown"))
+    return out.select("order_id", filters.order_message(c("order_id"), known(c("name")), known(c("tier")), c("amount")).alias("message"))
 
 
 def ledger_results(spark: SparkSession, d: str) -> DataFrame:
@@ -182,8 +186,40 @@ def ledger_balances(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ledger_status_split(spark: SparkSession, d: str) -> DataFrame:
+    """The three outputs one after the other, each with its name."""
     out = filters.routed(ledger.results(on.transactions(spark, d)), F.col("status"), ("COMPLETED", "DUPLICATE", "FAILED"))
-    return out["FAILED"].select("transaction_id", "account_from", "error_message")
+    parts = [x.select(F.lit(name).alias("output"), "transaction_id", "account_from", "seq", "error_message") for name, x in out.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def ledger_late_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Transactions that come again from seconds to days later: within a day they are duplicates, after it they are new."""
+    return ledger.results(on.late_transactions(spark, d)).drop("version")
+
+
+def revenue_by_category_decimals(spark: SparkSession, d: str) -> DataFrame:
+    """DECIMAL(10,2) as text, with both of its decimal places."""
+    orders = on.event_orders(spark, d).withColumn("status", F.lit("CONFIRMED"))
+    out = dashboard.revenue_in_decimals(orders, "1 hour")
+    return out.withColumns({c: F.col(c).cast("string") for c in ("revenue", "avg_order_value")})
+
+
+def money_casts(spark: SparkSession, d: str) -> DataFrame:
+    """Amounts as DECIMAL(10,2) and rounded to cents, whole and halved."""
+    price = F.col("p_retailprice")
+    return on.table(spark, d, "part").select("p_partkey", scalars.ten_two(price).cast("string").alias("price"), scalars.round_cents(price).alias("rounded"), scalars.ten_two(price * 1_000_000).cast("string").alias("beyond"))
+
+
+def order_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Order rates over the hours of two days and the seconds of two beats, with and without jitter, and weighted choices."""
+    i, c = F.col("event_id"), F.col
+    hour = (i % 48).cast("double") / 2
+    jitter = F.expr("pmod(event_id div 600 * 7919, 1000)") / F.lit(1000.0)
+    return on.table(spark, d, "events").select(
+        "event_id", F.round(scalars.rate_of_day(hour), 9).alias("rate"), scalars.burst_factor(i).alias("burst"), scalars.burst_factor(i, jitter=jitter).alias("late_burst"),
+        scalars.weighted((i % 100) / F.lit(100.0), generators.STATUSES).alias("status"), geo.location(((i * 7) % 650 - 74200) / F.lit(1000.0), F.lit(40.5)).alias("place"),
+        scalars.padded("ORD-", c("event_id"), 8).alias("order_id"),
+    )
 
 
 def dedup_by_id(spark: SparkSession, d: str) -> DataFrame:
@@ -204,7 +240,11 @@ def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _generated(make: Callable[[SparkSession, int], DataFrame], n: int = 1000) -> Query:
-    return lambda spark, _: make(spark, n)
+    def query(spark: SparkSession, _: str) -> DataFrame:
+        df = make(spark, n)
+        return df.select(*(F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes))
+
+    return query
 
 
 QUERIES: dict[str, Query] = {
@@ -214,13 +254,14 @@ QUERIES: dict[str, Query] = {
         serving_category_recent, serving_alerts_recent, order_count_rollup, pivot_region_by_window, pivot_category_by_window, latest_window_top, nyc_filter,
         geo_distance, geo_grid_cell, ride_fare_join, hourly_tips_sum, hourly_tips_max, long_ride_alerts, session_stats, session_conversion, late_event_split,
         cdc_route_counts, cdc_alerts, cdc_latest_state, window_join_1m, interval_join, broadcast_enrich, latest_customer_version, asof_enrich, enriched_messages,
-        ledger_results, ledger_balances, ledger_status_split, dedup_by_id, newest_events, scalar_functions,
+        ledger_results, ledger_balances, ledger_status_split, ledger_late_duplicates, dedup_by_id, newest_events, scalar_functions, revenue_by_category_decimals,
+        money_casts, order_rates,
     )
 }
 QUERIES |= {
     f"generated_{g.__name__}": _generated(g)
     for g in (
         generators.rides, generators.fares, generators.user_events, generators.orders, generators.change_events, generators.join_orders,
-        generators.join_customers, generators.join_products, generators.transactions,
+        generators.join_customers, generators.join_products, generators.transactions, generators.paced_orders,
     )
 }
