@@ -206,3 +206,50 @@ def test_config_and_json(spark):
     raw = spark.createDataFrame([('{"orderId":"1","quantity":2,"orderTime":"2024-01-01T00:00:01.500"}',), ("junk",)], "value string")
     (order,) = readers.parsed_orders(raw).collect()
     assert (order.order_id, order.quantity, order.order_time.microsecond) == ("1", 2, 500_000)
+
+
+@pytest.mark.parametrize("ids", [10, 2000])
+@pytest.mark.parametrize(("late", "status"), [(0, "DUPLICATE"), (1000, "COMPLETED"), (-1000, "DUPLICATE"), (16 * 3600 * 1_000_000, "COMPLETED")])
+def test_what_an_account_remembers_does_not_depend_on_how_much(ids, late, status):
+    """late is in microseconds after a day, 1 ms on either side of it among them."""
+    a = ledger.Account()
+    for i in range(ids):
+        a.apply(i, 1, i)
+    assert a.apply(0, 1, ledger.RETENTION_US + late)[0] == status
+    assert len(a.done) == len(a.order)
+
+
+def test_ride_fares_come_once(spark):
+    r = table(spark, [(1, True, at(0)), (2, True, at(0))], "ride_id long, is_start boolean, event_time timestamp_ntz")
+    f = table(spark, [(1, Decimal(1), at(0)), (2, Decimal(1), at(0)), (2, Decimal(1), at(0))], "ride_id long, tip decimal(18,2), start_time timestamp_ntz")
+    with pytest.raises(Exception, match="ride_id comes twice: 2"):
+        joins.ride_fares(r, f).collect()
+
+
+def test_means_are_rounded_once(spark):
+    rows = [(Decimal("0.01"), 2, "0.01"), (Decimal("0.01"), 3, "0.00"), (Decimal("1.00"), 8, "0.13"), (Decimal("-1.00"), 8, "-0.13"), (Decimal("10.00"), 3, "3.33"), (Decimal("20000000000.00"), 1, None)]
+    got = table(spark, rows, "total decimal(18,2), n long, want string").select(scalars.mean_ten_two(F.col("total"), F.col("n")).alias("mean"), "want").collect()
+    assert [None if r.mean is None else str(r.mean) for r in got] == [r.want for r in got]
+    assert spark.range(1).select(scalars.ten_two(F.lit(Decimal("1.005")))).head()[0] == Decimal("1.01")
+
+
+def test_bursts_begin_up_to_a_fifth_late(spark):
+    seconds = spark.range(1200).select("id", scalars.burst_factor(F.col("id"), jitter=F.lit(0.5)).alias("x")).where("x > 1").collect()
+    assert [r.id for r in seconds] == [*range(60, 90), *range(660, 690)]
+
+
+def test_last_windows_read_once(spark):
+    rows = spark.range(1000).select((F.col("id") % 100).alias("window_start"), "id")
+    got = windows.last_windows(rows, 20)
+    assert {r.window_start for r in got.collect()} == set(range(80, 100)) and got.count() == 200
+    plan = windows.last_windows(rows, 20)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 1 and "WindowGroupLimit" in plan
+
+
+def test_serving_reads_recent_rows_only(spark):
+    from tests.conftest import DATA
+    from tidemark.queries import QUERIES
+
+    for name, column in (("serving_region_recent", "o_orderdate"), ("serving_products_recent", "ts"), ("high_value_alerts", "l_extendedprice")):
+        plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert any(f"Greater{x}({column}" in plan for x in ("Than", "ThanOrEqual")), name

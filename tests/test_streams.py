@@ -2,10 +2,11 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from tidemark.streaming import dashboard, sinks, windows
 from tidemark.streaming import processors as p
-from tidemark.streaming import sinks, windows
 
 T0 = datetime(2024, 1, 1)
 
@@ -66,7 +67,7 @@ def test_stream_windows_equal_batch_windows(spark, tmp_path):
 
 
 def test_upsert_and_hypertable(spark, tmp_path):
-    write = sinks.upsert(str(tmp_path / "u"), ["k"])
+    write = sinks.upsert(str(tmp_path / "u"), ["k"], order="t")
     frame = lambda rows: spark.createDataFrame(rows, "k long, v string, t timestamp")
     write(frame([(1, "a", at(0)), (2, "b", at(0))]), 0)
     for _ in range(2):  # a batch that comes again changes nothing
@@ -82,3 +83,84 @@ def test_upsert_and_hypertable(spark, tmp_path):
 def test_json_rows(spark):
     (r,) = sinks.as_json(spark.createDataFrame([(1, "x")], "k long, v string"), "k").collect()
     assert (r.key, r.value) == ("1", '{"k":1,"v":"x"}')
+
+
+def test_upsert_keeps_the_last_row_of_a_batch(spark, tmp_path):
+    rows = spark.createDataFrame([(1, v) for v in range(50)], "k long, v long").repartition(4)
+    sinks.upsert(str(tmp_path / "a"), ["k"], order="v")(rows, 0)
+    assert [r.v for r in sinks.upserted(spark, str(tmp_path / "a"), ["k"]).collect()] == [49]
+    with pytest.raises(Exception, match="twice"):
+        sinks.upsert(str(tmp_path / "b"), ["k"])(rows, 0)
+
+
+def test_upsert_compacts(spark, tmp_path):
+    folder = str(tmp_path / "u")
+    write = sinks.upsert(folder, ["k"], order="v", compact_every=3)
+    for i in range(8):
+        write(spark.createDataFrame([(i % 4, i), (9, i)], "k long, v long"), i)
+        write(spark.createDataFrame([(i % 4, i), (9, i)], "k long, v long"), i)  # again
+    want = {(0, 4), (1, 5), (2, 6), (3, 7), (9, 7)}
+    assert {(r.k, r.v) for r in sinks.upserted(spark, folder, ["k"]).collect()} == want
+    read = {f.rsplit("/", 2)[-2] for f in sinks._latest(spark, folder).inputFiles()}
+    assert read == {"table=000000006", "batch=000000007"}
+
+
+def test_job_writes_four_tables_and_goes_on(spark, tmp_path):
+    """The dashboard job over several files, stopped and started again."""
+    schema = "order_id long, customer_id long, product_name string, category string, region string, quantity int, total_amount double, order_time timestamp, status string"
+    folder, out, check = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    row = lambda i, s: (i, i % 3, f"p{i % 5}", "c", "r", 1 + i % 2, 100.0 * i, at(s), "CONFIRMED")
+
+    def run(n, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(f"{folder}/{n}")
+        orders = spark.readStream.schema(schema).option("recursiveFileLookup", "true").json(folder)
+        all_of = dashboard.analytics(orders)
+        for q in dashboard.started(all_of, dashboard.files(out, all_of), check):
+            q.awaitTermination()
+        return all_of
+
+    run(0, [row(i, i) for i in range(10)])
+    run(1, [row(i, 60 + i) for i in range(10, 20)])
+    all_of = run(2, [row(0, 100_000)])
+    table = lambda name: sinks.upserted(spark, f"{out}/{name}", list(all_of[name].key)) if all_of[name].key else spark.read.parquet(f"{out}/{name}/batch=*")
+    assert sorted((r.order_count, r.revenue) for r in table("orders_by_region").collect()) == [(10, 4500.0), (10, 14500.0)]
+    assert sorted((r.unique_customers, r.orders, str(r.revenue), str(r.avg_order_value)) for r in table("revenue_by_category").collect()) == [(3, 10, "14500.00", "1450.00"), (3, 10, "4500.00", "450.00")]
+    assert {r.order_id for r in table("high_value_alerts").collect()} == set(range(6, 20))
+    top = table("top_products").where(F.col("window_start") == F.lit(at(0))).orderBy("rank_num").collect()
+    assert [r.rank_num for r in top] == [1, 2, 3] and top[0].total_sold == max(r.total_sold for r in top)
+
+
+def test_trigger_reaches_the_writer(spark, tmp_path):
+    df = files(spark, str(tmp_path / "in"), "k long", [(1,)])
+    q = sinks.each_batch(df, sinks.appended(str(tmp_path / "out")), str(tmp_path / "c"), "append", "1 second")
+    try:
+        for _ in range(60):
+            if q.lastProgress and q.lastProgress["sink"]:
+                break
+            q.awaitTermination(1)
+        assert q.isActive
+    finally:
+        q.stop()
+    assert spark.read.parquet(f"{tmp_path}/out/batch=*").count() == 1
+
+
+def test_print_sink(spark, tmp_path):
+    df = files(spark, str(tmp_path / "in"), "k long, v string", [(1, "printed")])
+    q = sinks.printed(df, str(tmp_path / "c"))
+    q.awaitTermination()
+    (first, *_) = q.recentProgress
+    assert first["numInputRows"] == 1 and "Console" in first["sink"]["description"]
+
+
+def test_keys_of_several_columns(spark):
+    (r,) = sinks.as_json(spark.createDataFrame([(1, 2, "x")], "a long, b long, v string"), ["a", "b"]).collect()
+    assert (r.key, r.value) == ('{"a":1,"b":2}', '{"a":1,"b":2,"v":"x"}')
+
+
+def test_ids_are_forgotten_after_a_day_by_timers(spark, tmp_path):
+    schema = "transaction_id long, account_from long, cents long, ts timestamp, seq int"
+    day = 24 * 3600
+    rows = [[(1, 7, 1, at(0), 0)], [(1, 7, 1, at(day), 1)], [(5, 8, 1, at(2 * day), 0)], [(1, 7, 1, at(day) + timedelta(milliseconds=1), 2), (1, 7, 1, at(2 * day), 3)], [(9, 9, 1, at(9 * day), 0)], [(1, 7, 1, at(9 * day), 4)]]
+    df = files(spark, str(tmp_path / "in"), schema, *rows)
+    got = sinks.drained(p.stateful(df, "account_from", p.Ledger(), p.Ledger.SCHEMA, "ts", "2 days"), str(tmp_path / "out")).collect()
+    assert {r.seq: r.status for r in got if r.account_from == 7} == {0: "COMPLETED", 1: "DUPLICATE", 2: "COMPLETED", 3: "DUPLICATE", 4: "COMPLETED"}
