@@ -30,6 +30,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Parts of a length's pieces that are ranked apart, so that a common length is ranked by many tasks.
 PARTS = 64
+#: There are more of them if all pieces were of one length and a part had more than so many of them.
+PART_ROWS = 1 << 18
 #: Pieces of text whose ids a worker remembers; further ones are encoded each time.
 CACHE = 400_000
 CACHED_CHARS = 64
@@ -215,19 +217,17 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     cut = pieces(docs, path or tokenizer_path(), capacity, end_id)
-    cut = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int"))
     cut = scratch.save(cut, "pieces")  # texts are tokenised once
-    # at most capacity x PARTS rows, at any number of documents
-    counts = cut.groupBy("length", "part").agg(F.count("*").alias("n")).orderBy("length", "part").collect()
-    total: dict[int, int] = {}
-    first = []
-    for r in counts:
-        first.append((r["length"], r["part"], total.get(r["length"], 0)))
-        total[r["length"]] = total.get(r["length"], 0) + r["n"]
+    # so many parts of a length that none has many more than PART_ROWS rows, even if all pieces are of one length
+    parts = max(PARTS, -(-cut.count() // PART_ROWS))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
+    counts = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
+    total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     sent = spark.sparkContext.broadcast(Lookup(plan(total, capacity)))
-    before = spark.createDataFrame(first, "length long, part int, before long")
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     inside = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32", "start")
-    ranked = cut.withColumn("r", F.row_number().over(inside)).join(F.broadcast(before), ["length", "part"])
+    ranked = cut.withColumn("r", F.row_number().over(inside)).join(before, ["length", "part"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "ids", (F.col("before") + F.col("r") - 1).alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
