@@ -16,22 +16,30 @@ NEAR = jaccard.Join(n=5, num=80, den=100)
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects, as they are. A null or empty text has too few words and goes; repeated rows
+    all stay or all go."""
     return quality_rules.kept(docs)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the row of the smallest doc_id, one of repeated rows; null ids come last. Documents
+    without words have no duplicates but rows equal to them."""
     return jaccard.representatives(docs, NEAR)
 
 
 def cover_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with secrets in their texts replaced by the names of their kinds; a null text stays null."""
     return secrets.redacted(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: rows as often as it takes them, at most three times, and one cut short in each source. Documents without
+    words aren't taken; null is a source of its own."""
     return mixing.remixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens, with their ids and their places in sequences. A null text is only its end token."""
     return packing.packed(docs)
 
 
