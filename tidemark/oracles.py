@@ -308,7 +308,11 @@ ORACLES: dict[str, str] = {
         SELECT position, alert_type, CASE WHEN operation = 'DELETE' THEN table_name || '.' || primary_key ELSE primary_key END AS key, ts FROM a WHERE alert_type IS NOT NULL""",
     "cdc_latest_state": f"""WITH {_CHANGES}, l AS (SELECT *, row_number() OVER (PARTITION BY table_name, primary_key ORDER BY position DESC) AS n FROM change)
         SELECT table_name, primary_key, after_data FROM l WHERE n = 1 AND operation <> 'DELETE'""",
-    "window_join_1m": f"""WITH {_PURCHASES}, v AS (SELECT event_id AS view_id, user_id AS customer_id, time_bucket(INTERVAL '1 hour', ts) AS w FROM events WHERE event_type = 'view')
+    "window_join_1m": f"""WITH {_PURCHASES}, v AS (SELECT event_id AS view_id, user_id AS customer_id, time_bucket(INTERVAL '1 minute', ts) AS w FROM events WHERE event_type = 'view')
+        SELECT order_id, view_id, b.customer_id, w AS window_start FROM bought b JOIN v ON b.customer_id = v.customer_id AND time_bucket(INTERVAL '1 minute', order_time) = w""",
+    "enrich_latest_product": f"""WITH {_PURCHASES}, v AS (SELECT user_id % 13 AS product_id, arg_max(event_id, (ts, event_id)) AS e FROM events WHERE event_type = 'signup' AND user_id % 13 < 11 GROUP BY 1)
+        SELECT product_id, order_id, quantity, coalesce('v' || e, 'Unknown') AS product_name, coalesce(e % 100 / 4.0::DOUBLE, 0) AS price FROM bought LEFT JOIN v USING (product_id)""",
+    "window_join_1h": f"""WITH {_PURCHASES}, v AS (SELECT event_id AS view_id, user_id AS customer_id, time_bucket(INTERVAL '1 hour', ts) AS w FROM events WHERE event_type = 'view')
         SELECT order_id, view_id, b.customer_id, w AS window_start FROM bought b JOIN v ON b.customer_id = v.customer_id AND time_bucket(INTERVAL '1 hour', order_time) = w""",
     "interval_join": f"""WITH {_PURCHASES}, v AS (SELECT event_id AS view_id, user_id AS customer_id, ts AS view_time FROM events WHERE event_type = 'view')
         SELECT order_id, view_id, order_time, view_time FROM bought b JOIN v ON b.customer_id = v.customer_id AND view_time BETWEEN order_time - INTERVAL '7200 seconds' AND order_time""",

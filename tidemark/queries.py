@@ -139,14 +139,18 @@ def _purchases(spark: SparkSession, d: str) -> DataFrame:
     return on.event_orders(spark, d).select("order_id", "customer_id", F.col("total_amount").cast("double").alias("amount"), "order_time")
 
 
-def window_join_1m(spark: SparkSession, d: str) -> DataFrame:
+def _window_join(spark: SparkSession, d: str, size: str) -> DataFrame:
     views = on.table(spark, d, "events").where("event_type = 'view'").select(F.col("event_id").alias("view_id"), F.col("user_id").alias("customer_id"), F.col("ts").alias("view_time"))
-    met = windows_join(_purchases(spark, d), views)
+    met = joins.window_join(_purchases(spark, d), views, "customer_id", "order_time", "view_time", size)
     return met.select("order_id", "view_id", "customer_id", F.col("w.start").alias("window_start"))
 
 
-def windows_join(orders: DataFrame, views: DataFrame) -> DataFrame:
-    return joins.window_join(orders, views, "customer_id", "order_time", "view_time", "1 hour")
+def window_join_1m(spark: SparkSession, d: str) -> DataFrame:
+    return _window_join(spark, d, "1 minute")
+
+
+def window_join_1h(spark: SparkSession, d: str) -> DataFrame:
+    return _window_join(spark, d, "1 hour")
 
 
 def interval_join(spark: SparkSession, d: str) -> DataFrame:
@@ -160,6 +164,15 @@ def broadcast_enrich(spark: SparkSession, d: str) -> DataFrame:
     return joins.enriched_by_latest(lines, parts)
 
 
+def enrich_latest_product(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases with the last of three versions of their product; products 11 and 12 have none."""
+    versions = on.table(spark, d, "events").where("event_type = 'signup' and user_id % 13 < 11").select(
+        (F.col("user_id") % 13).alias("product_id"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("product_name"), (F.col("event_id") % 100 / F.lit(4.0)).alias("price"), "ts", "event_id"
+    )
+    last = joins.latest(versions, "product_id", "ts", "event_id").drop("ts", "event_id")
+    return joins.enriched_by_latest(on.event_orders(spark, d).select("order_id", "product_id", "quantity"), last)
+
+
 def latest_customer_version(spark: SparkSession, d: str) -> DataFrame:
     return joins.latest(on.customer_versions(spark, d), "customer_id", "update_time")
 
@@ -253,7 +266,7 @@ QUERIES: dict[str, Query] = {
         orders_by_region_tumble, top3_products_hop, revenue_by_category_tumble, high_value_alerts, serving_region_recent, serving_products_recent,
         serving_category_recent, serving_alerts_recent, order_count_rollup, pivot_region_by_window, pivot_category_by_window, latest_window_top, nyc_filter,
         geo_distance, geo_grid_cell, ride_fare_join, hourly_tips_sum, hourly_tips_max, long_ride_alerts, session_stats, session_conversion, late_event_split,
-        cdc_route_counts, cdc_alerts, cdc_latest_state, window_join_1m, interval_join, broadcast_enrich, latest_customer_version, asof_enrich, enriched_messages,
+        cdc_route_counts, cdc_alerts, cdc_latest_state, window_join_1m, window_join_1h, interval_join, broadcast_enrich, enrich_latest_product, latest_customer_version, asof_enrich, enriched_messages,
         ledger_results, ledger_balances, ledger_status_split, ledger_late_duplicates, dedup_by_id, newest_events, scalar_functions, revenue_by_category_decimals,
         money_casts, order_rates,
     )

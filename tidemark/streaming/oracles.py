@@ -24,6 +24,8 @@ ORACLES: dict[str, str] = {
         SELECT o.event_id AS order_id, user_id AS customer_id, CASE WHEN b.view_id IS NOT NULL THEN 'direct' WHEN a.view_id IS NOT NULL THEN 'delayed' ELSE 'unknown' END AS match,
           coalesce('user/' || coalesce(b.view_id, a.view_id), 'Unknown') AS name, CASE WHEN coalesce(b.view_id, a.view_id) IS NULL THEN 'Unknown' ELSE 'GOLD' END AS tier
         FROM o LEFT JOIN b USING (event_id) LEFT JOIN a USING (event_id)""",
+    "stream_sql_tumble": _ORDERS + """ SELECT time_bucket(INTERVAL '1 hour', order_time) AS window_start, category, count(*) AS orders, CAST(sum(quantity) AS BIGINT) AS total_sold FROM placed GROUP BY ALL""",
+    "stream_hypertable": "SELECT event_id, user_id, ts, strftime(ts, '%Y-%m-%d') AS day FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-15'",
     "stream_product_messages": """WITH v AS (SELECT event_id, user_id % 13 AS product_id, ts FROM events WHERE event_type = 'signup'),
           o AS (SELECT event_id, user_id % 13 AS product_id, ts, CAST(round(value * 100) AS BIGINT) AS c FROM events WHERE event_type = 'purchase'),
           b AS (SELECT o.event_id, arg_max(v.event_id, v.ts) AS version FROM o JOIN v ON v.product_id = o.product_id AND v.ts <= o.ts GROUP BY o.event_id)

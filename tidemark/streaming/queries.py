@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import cents
 from ..operators import cdc
 from ..sources import generators
-from ..sources.readers import stream, table
+from ..sources.readers import as_view, stream, table
 from . import dashboard, sinks, windows
 from . import processors as p
 
@@ -123,6 +123,25 @@ def stream_product_messages(spark: SparkSession, d: str) -> DataFrame:
     return sinks.drained(p.stateful(rows, "product_id", p.Catalog(), p.Catalog.SCHEMA, "at"), _folder(spark))
 
 
+def stream_sql_tumble(spark: SparkSession, d: str) -> DataFrame:
+    """A stream as a table of SQL."""
+    folder = _folder(spark)
+    name = f"purchases_{uuid.uuid4().hex}"
+    as_view(_flushed(_bought(spark, d), "ts", folder).withWatermark("ts", "5 seconds"), name)
+    out = spark.sql(f"""SELECT w.start AS window_start, category, orders, total_sold FROM (
+        SELECT window(ts, '1 hour') AS w, category, count(*) AS orders, sum(quantity) AS total_sold FROM {name} GROUP BY window(ts, '1 hour'), category)""")
+    return _local(sinks.drained(out, folder))
+
+
+def stream_hypertable(spark: SparkSession, d: str) -> DataFrame:
+    """Events through the table partitioned by day; of it, ten days, by which files are pruned."""
+    folder = _folder(spark)
+    rows = _stream(spark, d, "events", "ts").select("event_id", "user_id", "ts")
+    sinks.each_batch(rows, sinks.hypertable(f"{folder}/out", "ts"), f"{folder}/checkpoint", "append").awaitTermination()
+    stored = spark.read.parquet(f"{folder}/out").where("day between date '2024-01-05' and date '2024-01-14'")
+    return _local(stored.select("event_id", "user_id", "ts", F.col("day").cast("string").alias("day")))
+
+
 def _dashboard(name: str) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
         """One of the job's four tables, after the job has drained the stream into all of them."""
@@ -216,7 +235,7 @@ QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         stream_tumble, stream_top3, stream_sessions, stream_long_rides, stream_ledger, stream_enrich, stream_ride_fare, stream_interval_join,
-        stream_dedup, stream_upsert, stream_cdc_routes, stream_last_record, stream_ledger_late, stream_product_messages, stream_generated_orders,
+        stream_dedup, stream_upsert, stream_cdc_routes, stream_last_record, stream_ledger_late, stream_product_messages, stream_generated_orders, stream_sql_tumble, stream_hypertable,
     )
 }
 QUERIES |= {f"stream_dashboard_{name}": _dashboard(name) for name in ("orders_by_region", "top_products", "revenue_by_category", "high_value_alerts")}
