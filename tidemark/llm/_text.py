@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text makes a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 U64 = np.uint64
 _BYTE, _WORD = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 IS_WORD = np.ones(256, dtype=bool)
@@ -34,7 +34,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i in [0, n)."""
     if base not in _powers or len(_powers[base][0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = -(-n // (1 << 16)) << 16
         made = []
         for b in (base, pow(base, -1, 1 << 64)):
             steps = np.full(size, U64(b), dtype=U64)

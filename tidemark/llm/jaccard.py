@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._store import Bitmap, Scratch, row_key
+from ._store import Bitmap, Scratch, lean, row_key
 from .components import components
 
 #: Shingles of so many documents of one stretch are counted at once.
@@ -220,7 +220,7 @@ def frequent(docs: DataFrame, join: Join) -> Order:
                     held, words, total, seen = [], [], 0, set()
         yield from counted()
 
-    found = docs.select("text").mapInArrow(run, "is_word boolean, h long, n long").groupBy("is_word", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_MIN)
+    found = docs.select("text").mapInArrow(lean(run), "is_word boolean, h long, n long").groupBy("is_word", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_MIN)
     scratch = Scratch(docs.sparkSession, "frequent")
     found = scratch.save(found, "found")
     out = []
@@ -249,7 +249,7 @@ def profiles(docs: DataFrame, join: Join, sent: object) -> DataFrame:
                     names=["doc_id", "row_key", "n", "fp_a", "fp_b", "prefix"],
                 )
 
-    return docs.select("doc_id", "row_key", "text").mapInArrow(run, "doc_id long, row_key long, n long, fp_a long, fp_b long, prefix array<long>")
+    return docs.select("doc_id", "row_key", "text").mapInArrow(lean(run), "doc_id long, row_key long, n long, fp_a long, fp_b long, prefix array<long>")
 
 
 def boundary(sets: DataFrame, join: Join) -> int:
@@ -320,7 +320,7 @@ def list_rows(sets: DataFrame, join: Join, light: int, sent: object) -> DataFram
                 names=["key", "n", "place", "sid", "hot"],
             )
 
-    return sets.select("sid", "n", "prefix").mapInArrow(run, "key long, n int, place int, sid long, hot boolean")
+    return sets.select("sid", "n", "prefix").mapInArrow(lean(run), "key long, n int, place int, sid long, hot boolean")
 
 
 def allowed(join: Join, light: int, key: np.ndarray, n: np.ndarray, place: np.ndarray, new: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -407,7 +407,7 @@ def grouped(rows: DataFrame, join: Join, light: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (grp, key, n, place, sid)], names=names)
 
     schema = "grp long, key long, n int, place int, sid long"
-    near = rows.where("not hot").drop("hot").repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(run, schema)
+    near = rows.where("not hot").drop("hot").repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(lean(run), schema)
     return near.union(rows.where("hot").select(F.col("key").alias("grp"), "key", "n", "place", "sid"))
 
 
@@ -448,7 +448,7 @@ def whole_sets(docs: DataFrame, join: Join, bitmap: object) -> DataFrame:
                 blobs = pa.Array.from_buffers(pa.binary(), len(s), [None, edge.buffers()[1], pa.py_buffer(s.tokens.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(fp_a), pa.array(fp_b), blobs], names=["fp_a", "fp_b", "tokens"])
 
-    return docs.select("row_key", "text").mapInArrow(run, "fp_a long, fp_b long, tokens binary")
+    return docs.select("row_key", "text").mapInArrow(lean(run), "fp_a long, fp_b long, tokens binary")
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
@@ -639,7 +639,7 @@ def linked(rows: DataFrame, join: Join, light: int, count: bool) -> DataFrame:
         if held:
             yield _links(pa.Table.from_batches(held), join, light, count)
 
-    return rows.repartition("grp", "part").sortWithinPartitions("grp", "part", "key", "n", "sid").mapInArrow(run, "a long, b long, n long")
+    return rows.repartition("grp", "part").sortWithinPartitions("grp", "part", "key", "n", "sid").mapInArrow(lean(run), "a long, b long, n long")
 
 
 def classed(docs: DataFrame, join: Join, count: bool = False) -> DataFrame:

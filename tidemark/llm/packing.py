@@ -12,6 +12,7 @@ whole; repeated rows are documents of their own; an empty table gives an empty r
 
 from __future__ import annotations
 
+import functools
 import json
 import sys
 import zlib
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import Scratch
+from ._store import Scratch, lean
 
 CAPACITY = 1024
 END_ID = 2
@@ -33,8 +34,8 @@ PARTS = 64
 #: There are more of them if all pieces were of one length and a part had more than so many of them.
 PART_ROWS = 1 << 18
 #: Pieces of text whose ids a worker remembers; further ones are encoded each time.
-CACHE = 400_000
-CACHED_CHARS = 64
+CACHE = 200_000
+CACHED_CHARS = 32
 #: Pieces that a worker gives back at once: with their ids, 8 MB at most at a capacity of 1024.
 OUT_ROWS = 2048
 #: The byte-level tokenizer's split of a text; no merge crosses it.
@@ -55,13 +56,20 @@ class Encoder(dict):
     def __init__(self, path: str) -> None:
         super().__init__()
         import regex
-        from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
+        self.path = path
         self.cut = regex.compile(PIECES).findall
-        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            self.added = [t["content"] for t in json.load(f).get("added_tokens", [])]
         self.merge = self._ranked(path)
 
+    @functools.cached_property
+    def model(self) -> object:
+        """The tokenizer itself, which few texts need."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @staticmethod
     def _ranked(path: str) -> Callable[[str], list[int]] | None:
         """The same merges by rank tables, which take a tenth of the time a piece, where ids ascend as merges do."""
@@ -133,7 +141,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 #: A record of the plan: pieces of this length with ranks from first to end go, each at a time, to sequences from
@@ -238,7 +246,7 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset), b.column("ids")], names=names)
 
     kind = dict(docs.dtypes)["doc_id"]
-    return ranked.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids binary")
+    return ranked.mapInArrow(lean(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids binary")
 
 
 def sequences(placed: DataFrame) -> DataFrame:

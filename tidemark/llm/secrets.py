@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import _text
-from ._store import Scratch
+from ._store import Scratch, lean
 
 #: Fixed patterns and least lengths of what they must find.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -178,7 +178,7 @@ def scanned(docs: DataFrame) -> DataFrame:
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def covered(text: str, spans: list[Span]) -> str:
@@ -212,4 +212,4 @@ def redacted(docs: DataFrame) -> DataFrame:
                 b = pa.RecordBatch.from_arrays(cols, names=names)
             yield b
 
-    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
+    return docs.mapInArrow(lean(run), T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))

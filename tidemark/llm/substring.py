@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
-from ._store import Bitmap, Scratch
+from ._store import Bitmap, Scratch, lean
 
 WINDOW, ANCHOR = 50, 16
 #: Windows of one row: their marks are the bits of a long.
@@ -95,7 +95,7 @@ def anchor_rows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 size = np.diff(np.append(at, len(row)))
                 yield pa.RecordBatch.from_arrays([pa.array(least[at].view(np.int64)), pa.array(ids[base + row[at]].astype(np.int64)), pa.array(size)], names=["h", "doc", "n"])
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, "h long, doc long, n long")
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(lean(run), "h long, doc long, n long")
     return rows.groupBy("h", "doc").agg(F.sum("n").alias("n"))
 
 
@@ -224,7 +224,7 @@ def shared_windows(docs: DataFrame, named: object | None, sent: object, want_hot
                 )
 
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "th", "text", F.xxhash64("doc_id").alias("key"))
-    return rows.mapInArrow(run, "anchor long, doc long, th long, pos long, w binary")
+    return rows.mapInArrow(lean(run), "anchor long, doc long, th long, pos long, w binary")
 
 
 def _marks(rows: pa.Table) -> pa.RecordBatch:
@@ -274,9 +274,9 @@ def marked(batch: DataFrame, older: DataFrame | None, named: object | None, sent
         out = shared_windows(batch, None, sent, hot, window, anchor)
         return out if older is None else out.union(shared_windows(older, named, sent, hot, window, anchor))
 
-    out = rows(False).repartition("anchor").sortWithinPartitions("anchor", "doc").mapInArrow(_compared, "anchor long, doc long, th long, pos long, mask long")
+    out = rows(False).repartition("anchor").sortWithinPartitions("anchor", "doc").mapInArrow(lean(_compared), "anchor long, doc long, th long, pos long, mask long")
     if any_hot:
-        each = rows(True).mapInArrow(_exploded, "anchor long, w long, doc long, th long, pos long")
+        each = rows(True).mapInArrow(lean(_exploded), "anchor long, w long, doc long, th long, pos long")
         least = each.groupBy("anchor", "w").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").drop("hi")
         gone = each.join(least, ["anchor", "w"]).where("doc > lo")
         out = out.unionByName(gone.select("anchor", "doc", "th", "pos", F.lit(1).cast("long").alias("mask")))
@@ -346,4 +346,4 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, ba
             cols = [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.string())] * texts, names=["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * texts)
 
-    return met.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
+    return met.mapInArrow(lean(run), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)

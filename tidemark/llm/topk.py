@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import Scratch
+from ._store import Scratch, lean
 
 K = 10
 STRIDE = 100
@@ -60,7 +60,7 @@ def integers(df: DataFrame) -> DataFrame:
                     out.append(whole(x).astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "v"])
 
-    return df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "vec_id long, v binary")
+    return df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(lean(run), "vec_id long, v binary")
 
 
 def whole(x: np.ndarray) -> np.ndarray:
@@ -178,7 +178,7 @@ def searched(df: DataFrame, k: int = K, stride: int = STRIDE, pivots: int = PIVO
             vs = [np.frombuffer(v, dtype="<i8").astype(np.float64) for v in b.column("v").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([len(v) for v in vs], pa.int64()), pa.array([float((v**2).sum()) for v in vs], pa.float64())], names=["dim", "norm"])
 
-    n, dim, most = rows.mapInArrow(norms, "dim long, norm double").agg(F.count("*"), F.max("dim"), F.max("norm")).head()
+    n, dim, most = rows.mapInArrow(lean(norms), "dim long, norm double").agg(F.count("*"), F.max("dim"), F.max("norm")).head()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long, evaluated long")
     sample = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(PIVOT_SAMPLE).collect()
@@ -194,7 +194,7 @@ def searched(df: DataFrame, k: int = K, stride: int = STRIDE, pivots: int = PIVO
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.tobytes() for x in d], pa.binary()), pa.array(near.astype(np.int32)), pa.array(own)], names=["vec_id", "v", "d", "pivot", "far"])
 
     # the pivot table: every vector with its distances to the pivots, in doubles
-    table = scratch.save(rows.mapInArrow(tabled, "vec_id long, v binary, d binary, pivot int, far double"), "table")
+    table = scratch.save(rows.mapInArrow(lean(tabled), "vec_id long, v binary, d binary, pivot int, far double"), "table")
     scratch.drop("vectors")
     size = max(CANDIDATES, -(-n // MOST_BLOCKS))
     shell = min(SHELL, size) if n <= SHELL * MOST_BLOCKS else size
@@ -219,7 +219,7 @@ def searched(df: DataFrame, k: int = K, stride: int = STRIDE, pivots: int = PIVO
                 at[own] = np.searchsorted(known[int(p)], far[own], side="right")
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), b.column("d"), pa.array((pivot.astype(np.int64) << 40) | (at << 20))], names=["vec_id", "v", "d", "block"])
 
-    table = table.mapInArrow(shelled, "vec_id long, v binary, d binary, block long")
+    table = table.mapInArrow(lean(shelled), "vec_id long, v binary, d binary, block long")
     crowded = table.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > 2 * size).select(F.col("block").alias("b"), F.ceil(F.col("n") / size).alias("cuts"))
     table = table.join(crowded, F.col("block") == F.col("b"), "left")
     table = table.withColumn("block", F.col("block") + F.coalesce(F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("cuts")), F.lit(0)))
@@ -240,7 +240,7 @@ def searched(df: DataFrame, k: int = K, stride: int = STRIDE, pivots: int = PIVO
                 hi[k] = np.maximum(hi[k], own.max(0)) if k in hi else own.max(0)
         yield pa.RecordBatch.from_arrays([pa.array(list(lo), pa.int64()), pa.array([x.tobytes() for x in lo.values()], pa.binary()), pa.array([hi[k].tobytes() for k in lo], pa.binary())], names=["block", "lo", "hi"])
 
-    ranges = table.select("block", "d").mapInArrow(bounds, "block long, lo binary, hi binary").toArrow()  # about MOST_BLOCKS rows a writer at most
+    ranges = table.select("block", "d").mapInArrow(lean(bounds), "block long, lo binary, hi binary").toArrow()  # about MOST_BLOCKS rows a writer at most
     number, at = np.unique(ranges.column("block").to_numpy(), return_inverse=True)
     lo, hi = np.full((len(number), len(lift.pivots)), np.inf), np.full((len(number), len(lift.pivots)), -np.inf)
     for ufunc, to, col in ((np.minimum, lo, "lo"), (np.maximum, hi, "hi")):
@@ -255,7 +255,7 @@ def searched(df: DataFrame, k: int = K, stride: int = STRIDE, pivots: int = PIVO
             near = d.argmin(1) if d.shape[1] else np.zeros(len(d), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.tobytes() for x in d], pa.binary()), pa.array(near.astype(np.int64))], names=["vec_id", "v", "d", "near"])
 
-    asks = table.where(F.col("vec_id") % stride == 0).select("vec_id", "v").mapInArrow(asked, "vec_id long, v binary, d binary, near long")
+    asks = table.where(F.col("vec_id") % stride == 0).select("vec_id", "v").mapInArrow(lean(asked), "vec_id long, v binary, d binary, near long")
     asks = scratch.save(asks, "queries").withColumn("qid", F.monotonically_increasing_id())
     asking = asks.count()
     cuts = -(-asking // (QUERIES * len(lift.pivots)))
@@ -313,7 +313,7 @@ def searched(df: DataFrame, k: int = K, stride: int = STRIDE, pivots: int = PIVO
     def met(asks: DataFrame, first: bool) -> DataFrame:
         """Queries meet the candidates of the blocks that are planned for them: a chunk of queries and a block make a
         task, to which no block goes that no query of the chunk asks for."""
-        plan = asks.mapInArrow(planned(first), _BOTH + ", least double")
+        plan = asks.mapInArrow(lean(planned(first)), _BOTH + ", least double")
         plan = scratch.save(plan, f"plan-{int(first)}")
         places = plan.select(F.col("block").alias("to"), F.col("chunk").alias("of")).distinct()
         cand = table.join(places, F.col("block") == F.col("to")).select(F.col("to").alias("block"), F.col("of").alias("chunk"), "vec_id", "v", "d")

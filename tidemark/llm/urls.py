@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import Scratch
+from ._store import Scratch, lean
 
 #: (verdict, host, path prefix)
 RULES = (
@@ -155,7 +155,7 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] | DataFrame
             )
 
     kind = dict(cut.dtypes)["page_id"]
-    return cut.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string")
+    return cut.mapInArrow(lean(run), f"page_id {kind}, host string, path string, rule string, verdict string")
 
 
 def _ranged(cut: DataFrame, rules: DataFrame, size: int, default: str) -> DataFrame:
@@ -194,11 +194,11 @@ def _ranged(cut: DataFrame, rules: DataFrame, size: int, default: str) -> DataFr
             yield hits(index, waiting)
 
     rule_rows = rules.select(F.lit(False).alias("is_probe"), F.concat("host", "path").alias("text"), F.octet_length("host").alias("n"), "verdict")
-    probes = cut.select("host", "path").where("host <> ''").distinct().mapInArrow(asked, "host string, path string, probe string, n int")
+    probes = cut.select("host", "path").where("host <> ''").distinct().mapInArrow(lean(asked), "host string, path string, probe string, n int")
     probe_rows = probes.select(F.lit(True).alias("is_probe"), F.col("probe").alias("text"), "n", F.lit(None).cast("string").alias("verdict")).distinct()
     rows = rule_rows.union(probe_rows).withColumn("range", (F.shiftrightunsigned(F.xxhash64("text"), 32) * ranges / 2**32).cast("int"))
     rows = rows.repartition("range").sortWithinPartitions("range", "is_probe")
-    hit = rows.mapInArrow(found, "text string, n int, verdict string")
+    hit = rows.mapInArrow(lean(found), "text string, n int, verdict string")
     best = (
         probes.join(hit.withColumnsRenamed({"text": "probe", "n": "rule_n"}), "probe")
         .where("n = rule_n")
