@@ -23,6 +23,8 @@ BATCH_ROWS = 256
 #: shares a bit with another only costs work.
 LEAST_BITS, MOST_BITS = 20, 30
 _own: dict[str, str] = {}
+#: Folders of scratch tables, oldest first.
+_roots: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -30,12 +32,12 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local["):
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="tidemark-")
         return _own[app]
-    return spark.conf.get("spark.sql.warehouse.dir")
+    raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -68,6 +70,8 @@ class Scratch:
         # a step's shuffle files go when it is over, and don't pile up until the driver collects its garbage
         spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
+        _roots.append(self.root)
+
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
@@ -91,6 +95,20 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def mark() -> int:
+    """A point in time, for ``sweep``."""
+    return len(_roots)
+
+
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the scratch tables that were begun since that mark. Nothing that is yet to be read may come from them."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for root in _roots[since:]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(conf).delete(path, True)
+    del _roots[since:]
+
+
 def _hashes(kind: T.DataType) -> bool:
     if isinstance(kind, T.ArrayType):
         return _hashes(kind.elementType)
