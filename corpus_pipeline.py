@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import jaccard, mixing, packing, quality_rules, secrets
-from tidemark.llm._store import Scratch
+from tidemark.llm._store import Scratch, mark, sweep
 
 #: Near duplicates here: sets of five-word shingles with a similarity of 0.8 or more.
 NEAR = jaccard.Join(n=5, num=80, den=100)
@@ -55,11 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each one's rows are written and read again as the next one's input."""
+    """All stages over the documents; each one's rows are written and read again as the next one's input. What a stage
+    wrote on its way is deleted when its rows are there."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
+        begun = mark()
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        sweep(spark, begun)
         if k:
             scratch.drop(f"stage-{k - 1}")
     return docs
