@@ -300,6 +300,9 @@ def searched(df: DataFrame, k: int = K, stride: int = STRIDE, pivots: int = PIVO
         for i, best, scores, seen in search(c_ids, x_run, table, q, q_table, lift.most, k + 1, least):
             if not len(best):
                 continue
+            # none below the least score is wanted; one is kept for the count
+            keep = max(1, int((scores >= least[i]).sum()))
+            best, scores = best[:keep], scores[:keep]
             same = (c_ids[best] == q_ids[i]) & (x[best] == q[i]).all(1)
             count = np.append(seen, np.zeros(len(best) - 1, dtype=np.int64))
             for to, col in zip(out, (np.full(len(best), qid[i]), np.full(len(best), q_ids[i]), c_ids[best], scores, same, count), strict=True):
