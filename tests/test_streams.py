@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.sources import readers
 from tidemark.streaming import dashboard, sinks, windows
 from tidemark.streaming import processors as p
 
@@ -164,3 +165,25 @@ def test_ids_are_forgotten_after_a_day_by_timers(spark, tmp_path):
     df = files(spark, str(tmp_path / "in"), schema, *rows)
     got = sinks.drained(p.stateful(df, "account_from", p.Ledger(), p.Ledger.SCHEMA, "ts", "2 days"), str(tmp_path / "out")).collect()
     assert {r.seq: r.status for r in got if r.account_from == 7} == {0: "COMPLETED", 1: "DUPLICATE", 2: "COMPLETED", 3: "DUPLICATE", 4: "COMPLETED"}
+
+
+def test_fan_out_drops_who_does_not_listen(spark, tmp_path):
+    out = sinks.FanOut(most=3)
+    quick, slow = out.subscribe(), out.subscribe()
+    write = out.sink("alerts")
+    frame = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k long").coalesce(1)
+    write(frame(1, 2), 0)
+    assert [quick.get_nowait() for _ in range(2)] == [{"topic": "alerts", "data": {"k": 1}}, {"topic": "alerts", "data": {"k": 2}}]
+    write(frame(3, 4), 1)
+    assert out.queues == [quick] and slow.qsize() == 3
+    out.unsubscribe(quick)
+    write(frame(5), 2)
+    assert quick.qsize() == 2
+
+
+def test_rows_of_topics(spark):
+    raw = spark.createDataFrame([("a", '{"k":1}'), ("b", "junk")], "topic string, value string")
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    got = readers.rows_of_json(raw, StructType([StructField("k", LongType())])).collect()
+    assert [tuple(r) for r in got] == [("a", 1), ("b", None)]

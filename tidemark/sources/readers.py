@@ -57,6 +57,17 @@ def kafka_orders(spark: SparkSession, config: Config) -> DataFrame:
     return parsed_orders(spark.readStream.format("kafka").options(**kafka_options(config, config.orders_topic)).load())
 
 
+def kafka_rows(spark: SparkSession, config: Config, topics: list[str], schema: StructType) -> DataFrame:
+    """Rows of JSON topics, newest only, with their topic: what a consumer of the job's results reads."""
+    raw = spark.readStream.format("kafka").options(**kafka_options(config, ",".join(topics))).load()
+    return rows_of_json(raw, schema)
+
+
+def rows_of_json(raw: DataFrame, schema: StructType) -> DataFrame:
+    """topic and the fields of the JSON in value; a message that isn't JSON has none."""
+    return raw.select("topic", F.from_json(F.col("value").cast("string"), schema).alias("r")).select("topic", "r.*")
+
+
 def stream(spark: SparkSession, folder: str, schema: StructType, fmt: str = "parquet", pattern: str | None = None, files: int | None = None) -> DataFrame:
     """A stream over the files of a folder."""
     reader = spark.readStream.format(fmt).schema(schema)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import logging
+import queue
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -149,6 +151,41 @@ def jdbc(url: str, name: str, properties: Mapping[str, str]) -> Write:
     return write
 
 
+class FanOut:
+    """Rows of streams to subscribers of this process, as JSON with the name of their stream. Each subscriber has a queue of
+    bounded length; one that has let it run full is dropped, and holds up neither the stream nor the others."""
+
+    def __init__(self, most: int = 500) -> None:
+        self.most = most
+        self.queues: list[queue.Queue[dict]] = []
+
+    def subscribe(self) -> queue.Queue[dict]:
+        q: queue.Queue[dict] = queue.Queue(self.most)
+        self.queues.append(q)
+        return q
+
+    def unsubscribe(self, q: queue.Queue[dict]) -> None:
+        if q in self.queues:
+            self.queues.remove(q)
+
+    def sink(self, name: str) -> Write:
+        """A batch's rows come to the driver one partition at a time, and only while somebody listens: this is for the few
+        rows of a dashboard."""
+
+        def write(batch: DataFrame, batch_id: int) -> None:
+            if not self.queues:
+                return
+            for row in as_json(batch).toLocalIterator():
+                envelope = {"topic": name, "data": json.loads(row["value"])}
+                for q in list(self.queues):
+                    try:
+                        q.put_nowait(envelope)
+                    except queue.Full:
+                        self.unsubscribe(q)
+
+        return write
+
+
 def logged(label: str) -> Write:
     def write(batch: DataFrame, batch_id: int) -> None:
         log.info("%s: batch %d has %d rows", label, batch_id, batch.count())
