@@ -507,7 +507,7 @@ class Group:
         self.sid = sets.column("sid").to_numpy()
         self.copies = sets.column("copies").to_numpy()
         self.tokens = [np.frombuffer(x.as_buffer(), dtype=U64) for c in sets.column("tokens").chunks for x in c]
-        self.prefix = [x.values.to_numpy().view(U64) for c in sets.column("prefix").chunks for x in c]
+        self.prefix = [x.values.to_numpy().view(U64) for c in sets.column("prefix").chunks for x in c if x.is_valid]
         self.n = np.array([len(t) for t in self.tokens], dtype=np.int64)
         self.block = sets.column("block").to_numpy()
         self._sketches: dict[int, np.ndarray] = {}
@@ -657,11 +657,17 @@ def classed(docs: DataFrame, join: Join, count: bool = False) -> DataFrame:
     light = boundary(sets, join)
     lists = scratch.save(grouped(list_rows(sets, join, light, sent), join, light), "lists")
     of_lists, of_sets = dealt(lists, scratch)
-    there = scratch.save(of_sets.join(sets.drop("n", "rep"), "sid"), "wanted")
+    extra = ["prefix"] if count else []  # what tells in which list a link is counted
+    there = scratch.save(of_sets.join(sets.select("sid", "fp_a", "fp_b", "rep_key", "copies", *extra), "sid"), "wanted")
+    # the other prefixes have done their part, and most of the space is theirs
+    rows = scratch.save(rows.drop("prefix"), "members")
+    sets = scratch.save(sets.select("sid", "fp_a", "fp_b", "rep", "copies"), "classes-of")
+    scratch.drop("profiles", "sets")
     bitmap = spark.sparkContext.broadcast(Bitmap.of(there.select("rep_key").distinct()))  # of bounded size
     whole = whole_sets(docs, join, bitmap)
     none = lambda kind: F.lit(None).cast(kind)
-    of_sets = there.join(whole, ["fp_a", "fp_b"]).select("grp", "part", none("long").alias("key"), F.col("n").cast("int").alias("n"), none("int").alias("place"), "sid", "block", "copies", "prefix", "tokens")
+    prefix = F.col("prefix") if count else none("array<long>").alias("prefix")
+    of_sets = there.join(whole, ["fp_a", "fp_b"]).select("grp", "part", none("long").alias("key"), F.col("n").cast("int").alias("n"), none("int").alias("place"), "sid", "block", "copies", prefix, "tokens")
     of_lists = of_lists.select("grp", "part", "key", "n", "place", "sid", "block", none("long").alias("copies"), none("array<long>").alias("prefix"), none("binary").alias("tokens"))
     found = scratch.save(linked(of_sets.union(of_lists), join, light, count), "links")
     scratch.drop("lists", "wanted")
