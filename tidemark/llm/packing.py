@@ -34,8 +34,8 @@ PARTS = 64
 #: There are more of them if all pieces were of one length and a part had more than so many of them.
 PART_ROWS = 1 << 18
 #: Pieces of text whose ids a worker remembers; further ones are encoded each time.
-CACHE = 200_000
-CACHED_CHARS = 32
+CACHE = 400_000
+CACHED_CHARS = 64
 #: Pieces that a worker gives back at once: with their ids, 8 MB at most at a capacity of 1024.
 OUT_ROWS = 2048
 #: The byte-level tokenizer's split of a text; no merge crosses it.
